@@ -43,10 +43,10 @@ def _words(base: tuple[str, ...]) -> str:
 _SPEC = rf"{_AMOUNT}\s*({_words(('kg', 'l', 'ud'))})\.?"
 _PIECE = r"(?:unidades|unidad|unds?|uds?|uni|u)\.?"
 _CONTENT = rf"(?:(\d+)\s*(?:x\s*|(?:{_PIECE}\s*)?(?:-\s*|de\s+)|{_PIECE}\s+))?(\d+\s*/\s*\d+|\d*\s*[½¼¾]|medi[oa]|cuarto\s+de|{_NUMBER})\s*({_words(('kg', 'l'))})\b"
-_COUNT = rf"(?:(?<![\w.,])({_NUMBER})\s*({_words(('ud',))})(?![\w])|(?:pack|lote|caja|estuche)(?:\s+de)?\s+(\d+))"
+_COUNT = rf"(?:(?<![\w.,])({_NUMBER})\s*({_words(('ud',))})(?![\w])|(?:(?:pack|lote|caja|estuche)(?:\s+de)?\s+|(?<!\w)x\s*)(\d+)(?!\s*[.,]?\d))"
 _EXACT = T.DecimalType(30, 8)
-#: Base units in one item of goods when its text names none.
-USUAL_CONTENT = (0.02, 40.0)
+#: Base units in one item of goods when its text names none: kilograms or litres, pieces.
+USUAL_CONTENT = {"kg": (0.02, 40.0), "l": (0.02, 40.0), "ud": (0.99, 150.0)}
 
 
 def units_table(spark: SparkSession) -> DataFrame:
@@ -129,7 +129,8 @@ def with_unit_prices(
     whole = F.col(price) == F.floor(F.col(price))
     expected = F.col("unit_cents") * F.col("content")
     off = lambda c: F.abs(F.log((c + 0.5) / (expected + 0.5)))
-    implied = lambda c: (c / F.col("unit_cents")).between(*USUAL_CONTENT)
+    usual = [F.when(F.col("base_unit") == "ud", F.lit(USUAL_CONTENT["ud"][k])).otherwise(F.lit(USUAL_CONTENT["kg"][k])) for k in (0, 1)]
+    implied = lambda c: (c / F.col("unit_cents")).between(*usual)
     in_cents = F.when(~whole, False).when(expected > 0, off(cents) < off(euros)).when(F.col("unit_cents") > 0, implied(cents) & ~implied(euros)).otherwise(False)
     out = out.withColumn("price_cents", F.when(F.col(price).isNull() | F.isnan(price), None).when(in_cents, cents).otherwise(euros).cast("long"))
     right = F.when(expected > 0, F.abs(F.col("price_cents") - expected) <= F.greatest(F.lit(2.0), 0.02 * expected))
