@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cotejo.llm import bktree, canon
+from cotejo.llm import bktree, canon, encoding, mixing, quality
 from cotejo.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,5 +27,33 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return bktree.map_rows(table(spark, d, "products"), "pos", "brand", table(spark, d, "brand_reference"), "brand_id", "brand_name")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_canonical, p6_found)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents with their tokens and repeats."""
+    return mixing.mix(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached."""
+    return mixing.mix(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))[1]
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    common = [r["word"] for r in table(spark, d, "common_words").select("word").distinct().collect()]  # a fixed list
+    return quality.text_types(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", common)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(spark, d).where("doc_kind <> 'prose'").select("doc_id", "doc_kind")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's statistics, type and posterior of the type."""
+    return _typed(spark, d).withColumn("certainty", F.array_max("posterior")).drop("votes", "posterior", "readable")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_canonical, p6_found, p8_ids, p9_mix, p9_shares, p10_found, p10_statistics)}
 ORACLES: dict[str, str] = {}
