@@ -28,7 +28,7 @@ SHARD_ENTRIES = 20_000
 SHORT_FORMS = {"l.": "la", "hnos.": "hermanos", "hno.": "hermano", "alim.": "alimentos", "hta.": "huerta", "gja.": "granja", "fca.": "finca", "c.": "casa", "m.": "molino", "mol.": "molino", "mno.": "molino"}
 #: What is put before or after a firm name without being part of it.
 _BEFORE = re.compile(r"^(?:marca\s*:\s*|marca\s+|by\s+|de\s+|\*\s*)+(?=\S)")
-_AFTER = re.compile(r"(?<=\S)(?:\s+(?:s\.?\s?a\.?|s\.?\s?l\.?(?:\s?u\.?)?|bio|premium|espana|\(marca\)))+$")
+_AFTER = re.compile(r"(?<=\S)(?:\s+(?:s\.?\s?a\.?|s\.?\s?l\.?(?:\s?u\.?)?|bio|premium|espana|\(marca\)?))+$")
 _TURNED = re.compile(r"([^,]+),\s*([^\s,]+)")
 _QUOTES = " \"'«»“”‘’*()[]"
 #: Words that stand for the lack of a brand; store names are a parameter.

@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import bktree, canon, encoding, mixing, quality
+from cotejo.llm import bktree, canon, encoding, identity, mixing, quality, rpforest
 from cotejo.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return identity.same_product_pairs(table(spark, d, "rawreport"), "rep_id")
+
+
+def p4_products(spark: SparkSession, d: str) -> DataFrame:
+    """Every listing with its product and the size of the product's group."""
+    of = identity.products(table(spark, d, "rawreport"), "rep_id")
+    sizes = of.groupBy("product").agg(F.count("*").alias("n_listings"))
+    return of.join(sizes, "product").select(F.col("row").alias("rep_id"), "product", "n_listings")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "products").select("pos", "id", "description", "denomination", "brand")
     return canon.lookalike_pairs(rows, "pos", "id", ["description", "denomination", "brand"])
@@ -27,6 +38,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return bktree.map_rows(table(spark, d, "products"), "pos", "brand", table(spark, d, "brand_reference"), "brand_id", "brand_name")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return rpforest.similar_pairs(table(spark, d, "processed_products"), "vec_id", "product_embedding", 64, 5, 0.9)
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Up to five most similar vectors of every vector, whatever their cosine."""
+    return rpforest.most_similar(table(spark, d, "processed_products"), "vec_id", "product_embedding", 64, 5)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -55,5 +75,5 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _typed(spark, d).withColumn("certainty", F.array_max("posterior")).drop("votes", "posterior", "readable")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_canonical, p6_found, p8_ids, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_products, p5_found, p5_canonical, p6_found, p7_found, p7_neighbours, p8_ids, p9_mix, p9_shares, p10_found, p10_statistics)}
 ORACLES: dict[str, str] = {}
