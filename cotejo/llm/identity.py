@@ -49,7 +49,7 @@ VARIETIES = [
     ("entero", r"enter[oa]\b|(?:con )?toda su nata"), ("sin lactosa", r"(?:sin |s/ ?)lactosa|lactose free"), ("eco", r"(?:de cultivo )?ecologic[oa]s?|\beco\b|\bbio\b"), ("original", r"original|(?:receta )?clasic[oa]s?"),
     ("sin gluten", r"(?:sin |s/ ?)gluten|gluten free"), ("sin azucar", r"(?:sin |s/ ?)azucar(?:es)?|0 ?% azucares|zero azucar"), ("limon", r"limon"), ("pina", r"pina\b"), ("melocoton", r"melocot\w*\.?"), ("fresa", r"fresas?\b"),
     ("frutos rojos", r"frutos rojos|frutas? del bosque"), ("mango", r"mango\b"), ("naranja", r"naranja"), ("manzana", r"manzana"), ("lavanda", r"lavanda"), ("aloe", r"aloe(?: natural)?"), ("marino", r"(?:frescor )?marino|aroma mar\b|frescor"),
-    ("azahar", r"(?:flor de |esencia de )?azahar"), ("chocolate", r"(?:con |c/ ?)choc(?:olate|\.)"), ("miel", r"(?:con |c/ ?|a la )miel"), ("avena", r"avena"), ("almendra", r"almendr\w*"), ("integral", r"(?:de harina )?integr(?:al|\.)"),
+    ("azahar", r"(?:flor de |esencia de )?azahar"), ("chocolate", r"(?:con |de |c/ ?)?choc(?:olate\b|\.)"), ("miel", r"(?:con |c/ ?|a la )miel"), ("avena", r"(?:con |de |c/ ?)?avena"), ("almendra", r"(?:con |c/ ?)?almendr(?:as?|ad[oa]s?)\b"), ("integral", r"(?:de harina )?integr(?:al|\.)"),
 ]
 #: Words of advertising, of goods and of grammar that name no range.
 COMMON_WORDS = set("""
@@ -70,7 +70,7 @@ _COUNT = re.compile(rf"(\d+) ?(docenas?|dz|{_PIECES})(?!\w)|(media) docena|(?:pa
 _FRACTIONS = {"½": 0.5, "medio": 0.5, "cuarto de": 0.25}
 #: Letters of a word that each edit needs, and how many times more frequent the spelling must be that it goes to.
 LETTERS_PER_EDIT, DOMINANCE = 4, 4
-#: Relative error of a content that follows from price and unit price, by their rounding.
+#: Least relative error allowed to a content that follows from price and unit price.
 TOLERANCE = 0.025
 
 
@@ -165,10 +165,10 @@ def deletions(word: str, edits: int) -> list[str]:
     return list({"".join(c for i, c in enumerate(word) if i not in gone) for n in range(edits + 1) for gone in combinations(range(len(word)), n)})
 
 
-def merge_spellings(words: DataFrame, dominance: int = DOMINANCE) -> DataFrame:
+def merge_spellings(words: DataFrame, dominance: int = DOMINANCE, nearest: bool = True) -> DataFrame:
     """``block, word, target`` for the words of ``block, word, n`` that are a rare spelling of a frequent one: within
     one edit per four letters, two at most, and at least ``dominance`` times rarer (of equally frequent words the smaller
-    is the target). Ties by edits, frequency, word."""
+    is the target). Of several targets the ``nearest`` or else the most frequent, then the smaller word."""
 
     @F.pandas_udf("array<string>")
     def near(batch: pd.Series) -> pd.Series:
@@ -183,15 +183,16 @@ def merge_spellings(words: DataFrame, dominance: int = DOMINANCE) -> DataFrame:
     right = parts.select("block", "part", F.col("word").alias("target"), F.col("n").alias("m"))
     pairs = left.join(right, ["block", "part"]).where((F.col("m") >= dominance * F.col("n")) & ((F.col("m") > F.col("n")) | (F.col("target") < F.col("word")))).select("block", "word", "target", "m").distinct()
     pairs = pairs.withColumn("edits", distance(F.col("word"), F.col("target"))).where(F.col("edits") <= F.least(F.lit(2), F.floor(F.length("word") / LETTERS_PER_EDIT)))
-    best = pairs.groupBy("block", "word").agg(F.min(F.struct("edits", (-F.col("m")).alias("m"), "target")).alias("b"))
+    less = (-F.col("m")).alias("m")
+    best = pairs.groupBy("block", "word").agg(F.min(F.struct(*(["edits", less] if nearest else [less, "edits"]), "target")).alias("b"))
     return best.select("block", "word", F.col("b.target").alias("target"))
 
 
-def _respelled(rows: DataFrame, word: str, block: list[str], dominance: int = DOMINANCE) -> DataFrame:
+def _respelled(rows: DataFrame, word: str, block: list[str], dominance: int = DOMINANCE, nearest: bool = False) -> DataFrame:
     """The column with rare spellings replaced. Counts and replacements are per distinct word, so a hot word is one row."""
     tag = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in block]) if block else F.lit("")
     counts = rows.where(F.col(word) != "").groupBy(tag.alias("block"), F.col(word).alias("word")).agg(F.count("*").alias("n"))
-    to = merge_spellings(counts, dominance).withColumnRenamed("word", word)
+    to = merge_spellings(counts, dominance, nearest).withColumnRenamed("word", word)
     out = rows.withColumn("block", tag).join(to, ["block", word], "left")
     return out.withColumn(word, F.coalesce("target", word)).drop("block", "target")
 
@@ -214,8 +215,11 @@ def attributes(df: DataFrame, row: str) -> DataFrame:
     read = F.pandas_udf(_read, _LISTING)
     priced = with_unit_prices(df.select(F.col(row).alias("row"), F.col("id").alias("listing"), "description", "brand", "price", "unit_price"), "unit_price", "price", ["description"])
     rows = priced.withColumn("x", read("description", "brand"))
-    implied = F.when((F.col("price_cents") > 0) & (F.col("unit_cents") > 0), F.col("price_cents") / F.col("unit_cents"))
-    rows = cut(rows.select("row", "listing", "x.*", F.col("base_unit").alias("base"), implied.alias("implied")))
+    sure = (F.col("price_cents") > 0) & (F.col("unit_cents") > 0)
+    implied = F.when(sure, F.col("price_cents") / F.col("unit_cents"))
+    # both are rounded to whole cents
+    slack = F.when(sure, F.greatest(F.lit(TOLERANCE), 0.6 / F.col("price_cents") + 0.6 / F.col("unit_cents")))
+    rows = cut(rows.select("row", "listing", "x.*", F.col("base_unit").alias("base"), implied.alias("implied"), slack.alias("slack")))
     rows = _respelled(rows, "maker", [])
     # the maker's words: those of the brand fields of its rows
     words = rows.where("maker <> ''").select("maker", F.explode("own").alias("word")).groupBy("maker", "word").agg(F.count("*").alias("n"))
@@ -224,7 +228,7 @@ def attributes(df: DataFrame, row: str) -> DataFrame:
     @F.pandas_udf("boolean")
     def owned(word: pd.Series, maker: pd.Series, own: pd.Series) -> pd.Series:
         def one(w: str, m: str, o: list) -> bool:
-            return any(w == x or (min(len(w), len(x)) >= 5 and abs(len(w) - len(x)) <= 2 and damerau(w, x) <= min(2, len(x) // 4)) for x in o) or (len(w) >= 5 and w in (m or ""))
+            return any(w == x or (min(len(w), len(x)) >= 5 and abs(len(w) - len(x)) <= 2 and damerau(w, x) <= (1 if len(x) < 6 else 2)) for x in o) or (len(w) >= 5 and w in (m or ""))
 
         return pd.Series([one(*x) for x in zip(word, maker, own, strict=True)], dtype=bool)
 
@@ -242,8 +246,8 @@ def attributes(df: DataFrame, row: str) -> DataFrame:
     )
     rows = rows.join(picked.select("row", F.col("r.word").alias("range_name"), F.col("f.m").alias("text_maker")), "row", "left")
     rows = rows.withColumn("maker", F.when(F.col("maker") == "", F.coalesce("text_maker", F.lit(""))).otherwise(F.col("maker"))).withColumn("range_name", F.coalesce("range_name", F.lit("")))
-    rows = cut(rows.select("row", "listing", "gtin", "kind", "maker", "range_name", "variety", "content", "base", "implied"))
-    rows = cut(_respelled(rows, "range_name", ["kind"]))
+    rows = cut(rows.select("row", "listing", "gtin", "kind", "maker", "range_name", "variety", "content", "base", "implied", "slack"))
+    rows = cut(_respelled(rows, "range_name", ["kind"], nearest=True))
     # rows of one listing share what any of them tells
     for column in ("range_name", "maker", "variety", "content"):
         rows = _filled(rows, ["listing"], column)
@@ -267,18 +271,18 @@ def _with_contents(rows: DataFrame) -> DataFrame:
     total = lambda c: F.split_part(c, F.lit(":"), F.lit(2)).cast("double") * F.split_part(c, F.lit(":"), F.lit(3)).cast("double")
     counts = rows.where("content <> ''").groupBy("kind", "range_name", "maker", F.col("content").alias("c")).agg(F.count("*").alias("n"))
     counts = counts.withColumn("total", F.when(F.col("c").startswith("ud"), total(F.col("c"))).otherwise(total(F.col("c")) / 1000))
-    lacking = rows.where("coalesce(content, '') = '' and implied is not null").select("row", "kind", "range_name", "maker", "base", "implied")
+    lacking = rows.where("coalesce(content, '') = '' and implied is not null").select("row", "kind", "range_name", "maker", "base", "implied", "slack")
     error = F.abs(F.col("total") / F.col("implied") - 1)
     best = []
     for level, keys in enumerate((["kind", "range_name", "maker"], ["kind"])):
         known = counts.groupBy(*keys, "c", "total").agg(F.sum("n").alias("n"))
-        fits = lacking.join(known, keys).where((F.split_part("c", F.lit(":"), F.lit(1)) == F.col("base")) & (error <= TOLERANCE))
+        fits = lacking.join(known, keys).where((F.split_part("c", F.lit(":"), F.lit(1)) == F.col("base")) & (error <= F.col("slack")))
         best.append(fits.select("row", F.struct(F.lit(level).alias("level"), F.round(error, 2).alias("e"), (-F.col("n")).alias("n"), "c").alias("b")))
     found = best[0].unionAll(best[1]).groupBy("row").agg(F.min("b").alias("b")).select("row", F.col("b.c").alias("found"))
     out = rows.join(found, "row", "left")
     # no listing of the kind names it: the total itself, to a fiftieth
     own = F.concat(F.col("base"), F.lit(":~:"), F.round(F.col("implied") * 50, 0).cast("long").cast("string"))
-    return out.withColumn("content", F.coalesce(F.nullif("content", F.lit("")), "found", own)).drop("found", "implied", "base")
+    return out.withColumn("content", F.coalesce(F.nullif("content", F.lit("")), "found", own)).drop("found", "implied", "base", "slack")
 
 
 def products(df: DataFrame, row: str) -> DataFrame:
