@@ -13,7 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.operators.skew import fragment_replicate_join
@@ -99,19 +101,27 @@ def fit(sample: np.ndarray, depth: int, trees: int = TREES, seed: int = 3) -> Fo
     return Forest(depth, normals, offsets)
 
 
-def usable(vector: Column, dim: int) -> Column:
-    """``dim`` finite numbers that are not all zero."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.coalesce((F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+def _prepared(dim: int):
+    """Rows of ``row, vector`` with a usable vector as ``row, unit`` (float32 bytes at length one) and a 128-bit hash of
+    the direction, in NumPy per Arrow batch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch["vector"]
+            long = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), dim), False).to_numpy(zero_copy_only=False))
+            flat = column.take(pa.array(long)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            good = np.isfinite(flat).all(1) & (flat != 0).any(1)
+            flat = flat[good]
+            flat = flat / np.abs(flat).max(1, keepdims=True) if len(flat) else flat  # first, so that squares stay in range
+            unit = flat / np.linalg.norm(flat, axis=1, keepdims=True)
+            shape = np.round(unit, _ROUND).astype(np.float32) + np.float32(0)
+            hashes = [xxhash.xxh3_128_digest(x.tobytes()) for x in shape]
+            words = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            raw = [x.tobytes() for x in unit.astype(np.float32)]
+            rows = batch["row"].take(pa.array(long[good]))
+            yield pa.RecordBatch.from_arrays([rows.cast(pa.int64()), pa.array(raw, pa.binary()), pa.array(words[:, 0]), pa.array(words[:, 1])], names=["row", "unit", "h1", "h2"])
 
-def _direction(vector: Column) -> Column:
-    """The vector at length one, as floats."""
-    wide = vector.cast("array<double>")
-    top = F.array_max(F.transform(wide, F.abs))  # scaled first, so that squares stay in range
-    wide = F.transform(wide, lambda x: x / top)
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(wide, lambda x: (x / norm).cast("float"))
+    return run
 
 
 def _kernel(k: int, floor: float, dim: int):
@@ -138,11 +148,11 @@ def _kernel(k: int, floor: float, dim: int):
 
 def neighbours(reps: DataFrame, dim: int, k: int, floor: float, trees: int = TREES, probes: int = PROBES, leaf_rows: int = LEAF_ROWS, seed: int = 3) -> DataFrame:
     """``rep, near, cosine``: up to k nearest of each representative with cosine of at least ``floor``, from ``rep long,
-    unit array<float>``."""
+    unit binary``."""
     total = reps.count()
     # reaches the driver: at most SAMPLE_ROWS vectors, chosen by hash
     sample = reps.select("unit", F.xxhash64(F.lit(seed), "rep").alias("o")).orderBy("o").limit(SAMPLE_ROWS).select("unit").toArrow()
-    fitted = np.asarray(sample["unit"].combine_chunks().flatten(), np.float32).reshape(-1, dim) if total else np.zeros((0, dim), np.float32)
+    fitted = np.frombuffer(b"".join(sample["unit"].to_pylist()), np.float32).reshape(-1, dim)
     depth = 0
     while (total >> depth) > leaf_rows and (len(fitted) >> depth) > 16:
         depth += 1
@@ -154,11 +164,11 @@ def neighbours(reps: DataFrame, dim: int, k: int, floor: float, trees: int = TRE
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 rep = part["rep"].to_numpy()
-                unit = np.asarray(part["unit"].flatten(), np.float32).reshape(-1, dim)
+                raw = part["unit"].to_pylist()
+                unit = np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)
                 leaf = forest.leaves(unit, probes)
                 n, width = leaf.shape
                 rows = np.repeat(np.arange(n), width)
-                raw = [u.tobytes() for u in unit]
                 # a leaf that the queue gives again is asked once
                 own = np.tile(np.arange(width) < forest.trees, n)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel()), pa.array(rep[rows]), pa.array([raw[i] for i in rows], pa.binary()), pa.array(own)], names=["leaf", "rep", "unit", "held"])
@@ -186,9 +196,8 @@ def most_similar(df: DataFrame, row: str, vector: str, dim: int, k: int = 5, flo
     """``<row>, near, cosine``: for every row with a usable vector up to k most similar other rows, cosine ``floor`` or
     more. Equal cosines go to the smaller row number. Vectors whose directions agree to 5 decimals count as copies, of
     cosine 1. Null, empty, short, not-a-number and all-zero vectors take no part; ``row`` must be unique."""
-    rows = df.where(usable(F.col(vector), dim)).select(F.col(row).cast("long").alias("row"), _direction(F.col(vector)).alias("unit"))
-    shape = F.transform("unit", lambda x: F.round(x, _ROUND) + F.lit(0.0))
-    rows = rows.withColumns({"h1": F.xxhash64(F.lit(1), shape), "h2": F.xxhash64(F.lit(2), shape)})
+    rows = df.select(F.col(row).cast("long").alias("row"), F.col(vector).cast("array<float>").alias("vector"))
+    rows = cut(rows.mapInArrow(_prepared(dim), "row long, unit binary, h1 long, h2 long"))
     # one pass over the vectors; copies are known by a hash of 128 bits
     groups = rows.groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min_by("unit", "row").alias("unit"))
     groups = cut(groups)
