@@ -48,7 +48,7 @@ def normalize(text: Column, stopwords: list[str] | None = None) -> Column:
 
 def normalize_all(texts: Column) -> Column:
     """Each text of an array normalized."""
-    return F.transform(texts, normalize)
+    return F.transform(texts, lambda t: normalize(t))
 
 
 def slug(category: Column) -> Column:

@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cotejo.session import cut
 from cotejo.sources import schemas
 
 
@@ -16,8 +17,8 @@ def read_json_array(spark: SparkSession, path: str | list[str], schema: str, str
     absent are null. Files that aren't readable JSON give no rows unless ``strict``. A lost file's rows aren't guessed."""
     reader = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").option("mode", "FAILFAST" if strict else "PERMISSIVE")
     rows = reader.json(path).withColumn("__file", F.input_file_name()).withColumn("__at", F.monotonically_increasing_id())
-    # one array file is one task's input, so that ids within a file are its order
-    rows = rows.where(F.col("_bad").isNull()).drop("_bad")
+    # one array file is one task's input, so ids within a file are its order; it is parsed once, then read from storage
+    rows = cut(rows).where(F.col("_bad").isNull()).drop("_bad")
     files = rows.groupBy("__file").agg(F.count("*").alias("n"), F.min("__at").alias("first")).orderBy("__file").collect()  # one row a file
     start, starts = 0, []
     for f in files:
