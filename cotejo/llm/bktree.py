@@ -158,12 +158,12 @@ def map_values(values: DataFrame, value: str, reference: DataFrame, entry_id: st
     else:
         blocks = 4 * shards
         sharded = entries.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        spread = keys.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+        spread = keys.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
         def search_shard(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             tree = BKTree(sorted(zip(right["k"], right["n"], strict=True)))
             hits = [(key, hit) for key in left["key"] if (hit := tree.best(key, max_edits))]
-            return pd.DataFrame({"key": [k for k, _ in hits], "entry_id": [int(h[1]) for _, h in hits], "edits": [int(h[0]) for _, h in hits]})
+            return pd.DataFrame({"key": pd.Series([k for k, _ in hits], dtype=object), "entry_id": [int(h[1]) for _, h in hits], "edits": [int(h[0]) for _, h in hits]})
 
         part = spread.groupBy("shard", "block").cogroup(sharded.groupBy("shard", "block")).applyInPandas(search_shard, schema)
         found = part.groupBy("key").agg(F.min(F.struct("edits", "entry_id")).alias("m")).select("key", "m.entry_id", "m.edits")
