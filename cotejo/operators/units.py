@@ -90,10 +90,13 @@ def with_unit_prices(
     # amounts first: "1 kg = 2 €" and "(kg: 2 €)" become "2 €/1 kg"
     turned = F.regexp_replace(u, rf"^\(?\s*(.*?)\s*[=:]\s*{_MONEY}\s*\)?$", "$2$3/$1")
     out = df.select(*kept, turned.alias("__u"), text.alias("__t"), default.alias("__default"))
-    out = out.withColumns({f"__{k}": F.regexp_extract("__u", front, g) for k, g in (("n", 1), ("c", 2), ("s", 3))} | {"__hq": F.regexp_extract("__t", said, 1), "__hu": F.regexp_extract("__t", said, 2)})
-    goods = F.regexp_replace(F.regexp_replace("__t", rf"{HINT}\s*{_SPEC}", " "), PROMO, " ")  # no promotion, no announced unit
-    out = out.withColumns({"__fq": F.regexp_extract("__s", rf"^{_SPEC}\s*$", 1), "__fu": F.regexp_extract("__s", rf"^{_SPEC}\s*$", 2), "__goods": goods})
-    groups = {f"__g{k}": F.regexp_extract("__goods", _CONTENT, k) for k in (1, 2, 3)} | {f"__k{k}": F.regexp_extract("__goods", _COUNT, k) for k in (1, 2, 3)}
+    # long texts are searched once for each pattern; the short pieces found are taken apart after that
+    out = out.withColumns({f"__{k}": F.regexp_extract("__u", front, g) for k, g in (("n", 1), ("c", 2), ("s", 3))} | {"__h": F.regexp_extract("__t", said, 0)})
+    goods = F.when(F.col("__h") != "", F.replace("__t", F.col("__h"), F.lit(" "))).otherwise(F.col("__t"))  # no announced unit
+    out = out.withColumn("__goods", F.regexp_replace(goods, PROMO, " "))  # no promotion
+    out = out.withColumns({"__content": F.regexp_extract("__goods", _CONTENT, 0), "__pieces": F.regexp_extract("__goods", _COUNT, 0)})
+    out = out.withColumns({"__fq": F.regexp_extract("__s", rf"^{_SPEC}\s*$", 1), "__fu": F.regexp_extract("__s", rf"^{_SPEC}\s*$", 2), "__hq": F.regexp_extract("__h", said, 1), "__hu": F.regexp_extract("__h", said, 2)})
+    groups = {f"__g{k}": F.regexp_extract("__content", _CONTENT, k) for k in (1, 2, 3)} | {f"__k{k}": F.regexp_extract("__pieces", _COUNT, k) for k in (1, 2, 3)}
     bare = F.col("__s") == ""
     out = out.withColumns(
         groups
