@@ -64,6 +64,27 @@ _PAIRS = """
 _REPEATS = """w AS (SELECT l_partkey AS item, l_orderkey * 10 + l_linenumber AS r FROM lineitem),
   z AS (SELECT item, min(r) OVER (PARTITION BY item) AS first_row, r AS repeated_row FROM w)"""
 
+
+
+def _level(source: str, rows: str, prefix: str, value: str) -> str:
+    """Objects of an array (or of an object in its place) with their zero-based places."""
+    return f"""{source}_l AS (SELECT rep_id, {prefix} AS prefix, CASE json_type({value}) WHEN 'ARRAY' THEN json_extract({value}, '$[*]') WHEN 'OBJECT' THEN [{value}] END AS xs FROM {rows}),
+  {source}_u AS (SELECT rep_id, prefix, unnest(xs) AS x, unnest(range(len(xs))) AS i FROM {source}_l WHERE xs IS NOT NULL),
+  {source} AS (SELECT rep_id, prefix || CAST(i AS VARCHAR) AS path, x FROM {source}_u WHERE json_type(x) = 'OBJECT')"""
+
+
+_NODES = f"""WITH {_level('a1', "(SELECT rep_id, CAST(similar_products AS JSON) AS v FROM rawreport WHERE json_valid(similar_products)) r", "'similar_products.'", 'v')},
+  {_level('a2', 'a1', "path || '.offers.'", "json_extract(x, '$.offers')")},
+  {_level('a3', 'a2', "path || '.promos.'", "json_extract(x, '$.promos')")},
+  {_level('a4', 'a3', "path || '.tiers.'", "json_extract(x, '$.tiers')")},
+  nodes AS (SELECT rep_id, path FROM a1 UNION ALL SELECT rep_id, path FROM a2 UNION ALL SELECT rep_id, path FROM a3 UNION ALL SELECT rep_id, path FROM a4)
+"""
+
+
+def _node_columns(level: str) -> str:
+    return f"SELECT {level}.rep_id, {level}.path, regexp_replace({level}.path, '\\.[^.]+\\.\\d+$', '') AS parent_path, CAST(regexp_extract({level}.path, '(\\d+)$', 1) AS INTEGER) AS ordinal, "
+
+
 ORACLES: dict[str, str] = {
     "match_brand": _one_to_one(_SIDES, "a.label = b.label", "label"),
     "match_no_brand": _one_to_one(_SIDES, "true"),
@@ -147,6 +168,15 @@ SELECT DISTINCT source_supermarket, target_supermarket, {_slug('e.source_categor
     "slug_originals": f"""WITH n AS (SELECT {_slug('category')} AS slug, min(category) AS original FROM products WHERE category IS NOT NULL GROUP BY 1),
   s AS (SELECT DISTINCT {_slug('category')} AS slug FROM products WHERE contains(supermarket, 'Makro') AND category IS NOT NULL)
 SELECT s.slug, coalesce(original, s.slug) AS original FROM s LEFT JOIN n ON s.slug = n.slug""",
+    "p3_found": _NODES + "SELECT rep_id, path AS child_path FROM nodes",
+    "p3_products": _NODES + """SELECT rep_id, path, NULL AS parent_path, CAST(regexp_extract(path, '(\\d+)$', 1) AS INTEGER) AS ordinal,
+  coalesce(json_extract_string(x, '$.id'), json_extract_string(x, '$.productIdInSupermarket')) AS id, coalesce(json_extract_string(x, '$.description'), json_extract_string(x, '$.denomination')) AS description,
+  json_extract_string(x, '$.brand') AS brand, TRY_CAST(json_extract_string(x, '$.price') AS DOUBLE) AS price, json_extract_string(x, '$.unit_price') AS unit_price,
+  TRY_CAST(json_extract_string(x, '$.distance') AS DOUBLE) AS distance, json_extract_string(x, '$.nutrition_information.calories.value') AS calories FROM a1""",
+    "p3_offers": _NODES + _node_columns("a2") + """json_extract_string(x, '$.seller') AS seller, TRY_CAST(json_extract_string(x, '$.price') AS DOUBLE) AS price,
+  TRY_CAST(json_extract_string(x, '$.stock.units') AS INTEGER) AS stock_units, json_extract_string(x, '$.stock.store.zone') AS zone FROM a2""",
+    "p3_promos": _NODES + _node_columns("a3") + "json_extract_string(x, '$.code') AS code, json_extract_string(x, '$.label') AS label FROM a3",
+    "p3_tiers": _NODES + _node_columns("a4") + "TRY_CAST(json_extract_string(x, '$.min_units') AS INTEGER) AS min_units, TRY_CAST(json_extract_string(x, '$.off') AS DOUBLE) AS off FROM a4",
     "p2_found": """WITH n AS (SELECT category, pos, row_number() OVER (PARTITION BY category ORDER BY scraped_at DESC, pos DESC) AS r FROM products WHERE category IS NOT NULL AND scraped_at IS NOT NULL)
 SELECT category, pos FROM n WHERE r = 1""",
     "p2_since_latest": """WITH n AS (SELECT category, pos, row_number() OVER (PARTITION BY category ORDER BY scraped_at DESC, pos DESC) AS r FROM products WHERE category IS NOT NULL AND scraped_at IS NOT NULL)
