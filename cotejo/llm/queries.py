@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cotejo.functions import lookalikes
 from cotejo.llm import bktree, canon, encoding, identity, mixing, quality, rpforest
 from cotejo.session import table
 
@@ -76,4 +77,27 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_products, p5_found, p5_canonical, p6_found, p7_found, p7_neighbours, p8_ids, p9_mix, p9_shares, p10_found, p10_statistics)}
-ORACLES: dict[str, str] = {}
+
+
+def _form(column: str) -> str:
+    """The one visual form in SQL: single characters, then ligatures, then composition."""
+    pairs = lookalikes.one_to_one()
+    out = f"translate({column}, '{''.join(pairs) + lookalikes.invisible()}', '{''.join(pairs.values()).replace(chr(39), chr(39) * 2)}')"
+    for one, several in lookalikes.expansions().items():
+        out = f"replace({out}, '{one}', '{several}')"
+    return f"nfc_normalize({out})"
+
+
+#: SQL of the queries that SQL can say; the others are tested against brute force, a library or held-out labels.
+ORACLES: dict[str, str] = {
+    "p5_found": f"""WITH v AS (SELECT pos, id, 'description' AS field_name, description AS x FROM products UNION ALL SELECT pos, id, 'denomination', denomination FROM products
+  UNION ALL SELECT pos, id, 'brand', brand FROM products),
+  f AS (SELECT *, {_form('x')} AS form FROM v WHERE id IS NOT NULL AND trim(x) <> '')
+SELECT a.pos AS pos_a, b.pos AS pos_b, a.field_name FROM f a JOIN f b ON a.id = b.id AND a.field_name = b.field_name AND a.form = b.form AND a.pos < b.pos AND a.x <> b.x WHERE trim(a.form) <> ''""",
+    "p7_found": """WITH v AS (SELECT vec_id, CAST(product_embedding AS DOUBLE[]) AS e FROM processed_products
+  WHERE len(product_embedding) = 64 AND len(list_filter(product_embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(product_embedding, lambda x: x <> 0)) > 0),
+  u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
+  c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) / (a.n * b.n) AS cosine FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS k FROM c)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE k <= 5 AND cosine >= 0.9""",
+}
