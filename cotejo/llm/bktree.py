@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cotejo.llm.canon import transducer
 from cotejo.operators.skew import fragment_replicate_join
+from cotejo.session import shuffle_width
 
 #: Edits up to which a value may mean an entry, and letters of the key that each of them needs.
 MAX_EDITS, LETTERS_PER_EDIT = 2, 3
@@ -154,7 +155,8 @@ def map_values(values: DataFrame, value: str, reference: DataFrame, entry_id: st
                 hits = [(key, *(tree.best(key, max_edits) or (None, None))) for key in batch["key"]]
                 yield pd.DataFrame({"key": [h[0] for h in hits], "entry_id": pd.array([h[2] for h in hits], "Int64"), "edits": pd.array([h[1] for h in hits], "Int32")})
 
-        found = keys.mapInPandas(search, schema)
+        # few rows but much work: spread by a stated number, as sizes in bytes say nothing about the work
+        found = keys.repartition(4 * shuffle_width(keys.sparkSession)).mapInPandas(search, schema)
     else:
         blocks = 4 * shards
         sharded = entries.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
