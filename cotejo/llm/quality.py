@@ -33,17 +33,18 @@ def _lines(lines: Column, pattern: str) -> Column:
 def statistics(df: DataFrame, row: str, text: str, common: list[str]) -> DataFrame:
     """One row per document: counts and shares. Null and blank texts have zeros throughout (``n_words`` 0).
 
-    ``common`` are the frequent words of all languages, a fixed list, matched as whole words in one expression.
+    ``common`` are the frequent words of all languages, a fixed list, matched as whole words.
     """
     clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\r\n?", "\n")
     rows = df.select(F.col(row), clean.alias("t"), F.coalesce(F.col(text).rlike(r"[^\s\p{Z}\p{C}]"), F.lit(False)).alias("readable"))
     rows = rows.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"\S")))
-    rows = rows.withColumn("words", F.expr(r"regexp_extract_all(t, '[\\p{L}\\p{M}]+', 0)"))
-    words = "|".join(sorted({w.lower() for w in common if w}, key=lambda w: (-len(w), w)))
+    rows = rows.withColumn("words", F.expr(r"regexp_extract_all(lower(t), '[\\p{L}\\p{M}]+', 0)"))
+    fields = F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\s*\||;|\t+|(?<=\S) {2,}(?=\S)")))
+    rows = rows.withColumns({"fields": F.filter(fields, lambda n: n > 1), "n_distinct": F.size(F.array_distinct("words"))})
+    frequent = sorted({w.lower() for w in common if w})
     t, n_lines, n_words, n_chars = F.col("t"), F.size("lines"), F.size("words"), F.length("t")
     tokens = F.regexp_count(t, F.lit(r"\S+"))
-    fields = F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\s*\||;|\t+|(?<=\S) {2,}(?=\S)")))
-    with_fields = F.size(F.filter(fields, lambda n: n > 1))
+    with_fields = F.size("fields")
     sentence = F.regexp_count(t, F.lit(rf"\p{{L}}[\p{{L}}\p{{N}}%€)»\"']*\s*{_END}(?=\s|$)"))
     separators = F.regexp_count(t, F.lit(r"(?:(?<=\S), |; | / | · | \| )"))
     return rows.select(
@@ -53,18 +54,18 @@ def statistics(df: DataFrame, row: str, text: str, common: list[str]) -> DataFra
         _share(F.regexp_count(t, F.lit(r"\p{L}")), n_chars).alias("letter_share"),
         _share(F.regexp_count(t, F.lit(r"\p{Nd}")), n_chars).alias("digit_share"),
         _share(F.regexp_count(t, F.lit(r"[^\p{L}\p{M}\p{N}\s]")), n_chars).alias("symbol_share"),
-        _share(F.regexp_count(F.lower(t), F.lit(rf"(?<![\p{{L}}\p{{M}}])(?:{words})(?![\p{{L}}\p{{M}}])")), n_words).alias("common_share"),
+        _share(F.size(F.filter("words", lambda w: w.isin(frequent))), n_words).alias("common_share"),
         _share(_lines(F.col("lines"), rf"{_END}\s*$"), n_lines).alias("ended_share"),
         sentence.alias("n_sentences"), _share(sentence, n_words).alias("sentence_rate"),
         _share(_lines(F.col("lines"), r"^\s*(?:[-*•·–—▪◦>+]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+\S"), n_lines).alias("bullet_share"),
         _share(with_fields, n_lines).alias("field_share"),
-        _share(F.size(F.array_distinct(F.filter(fields, lambda n: n > 1))), with_fields).alias("field_variety"),
+        _share(F.size(F.array_distinct("fields")), with_fields).alias("field_variety"),
         _share(_lines(F.col("lines"), r"^[^:=\t.]{2,40}?\s*(?:[:=\t]|\.{3,})\s*\S{1,12}(?:\s?[^\s]{0,5}){0,2}\s*$"), n_lines).alias("pair_share"),
         _share(separators, n_words).alias("separator_rate"),
-        _share(F.size(F.array_distinct(F.transform("words", F.lower))), n_words).alias("distinct_words"),
-        F.size(F.array_distinct(F.transform("words", F.lower))).alias("n_distinct_words"),
+        _share(F.col("n_distinct"), n_words).alias("distinct_words"),
+        F.col("n_distinct").alias("n_distinct_words"),
         _share(F.size(F.array_distinct("lines")), n_lines).alias("distinct_lines"),
-        _share(F.size(F.filter("words", lambda w: F.lower(w).isin(MENU_WORDS))), n_words).alias("menu_share"),
+        _share(F.size(F.filter("words", lambda w: w.isin(MENU_WORDS))), n_words).alias("menu_share"),
         _share(_lines(F.col("lines"), r"^\s*\p{Ll}"), n_lines).alias("lower_start_share"),
         F.coalesce(F.array_max(F.transform(F.split(t, r"\s+"), F.length)), F.lit(0)).alias("longest_token"),
         _share(F.regexp_count(t, F.lit(r"[\x{80}-\x{9f}¢-©¬®¯±-¶¸¹¼-¾ÂÃ�]")), n_chars).alias("damaged_share"),
