@@ -70,6 +70,8 @@ _COUNT = re.compile(rf"(\d+) ?(docenas?|dz|{_PIECES})(?!\w)|(media) docena|(?:pa
 _FRACTIONS = {"½": 0.5, "medio": 0.5, "cuarto de": 0.25}
 #: Letters of a word that each edit needs, and how many times more frequent the spelling must be that it goes to.
 LETTERS_PER_EDIT, DOMINANCE = 4, 4
+#: Longer runs of letters are no words: they are compared as they are, never respelled.
+MAX_LETTERS = 40
 #: Least relative error allowed to a content that follows from price and unit price.
 TOLERANCE = 0.025
 
@@ -178,7 +180,7 @@ def merge_spellings(words: DataFrame, dominance: int = DOMINANCE, nearest: bool
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([damerau(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    parts = words.where(F.length("word") >= LETTERS_PER_EDIT).select("block", "word", "n", F.explode(near(F.col("word"))).alias("part"))
+    parts = words.where(F.length("word").between(LETTERS_PER_EDIT, MAX_LETTERS)).select("block", "word", "n", F.explode(near(F.col("word"))).alias("part"))
     left = parts.select("block", "part", "word", "n")
     right = parts.select("block", "part", F.col("word").alias("target"), F.col("n").alias("m"))
     pairs = left.join(right, ["block", "part"]).where((F.col("m") >= dominance * F.col("n")) & ((F.col("m") > F.col("n")) | (F.col("target") < F.col("word")))).select("block", "word", "target", "m").distinct()
@@ -228,7 +230,7 @@ def attributes(df: DataFrame, row: str) -> DataFrame:
     @F.pandas_udf("boolean")
     def owned(word: pd.Series, maker: pd.Series, own: pd.Series) -> pd.Series:
         def one(w: str, m: str, o: list) -> bool:
-            return any(w == x or (min(len(w), len(x)) >= 5 and abs(len(w) - len(x)) <= 2 and damerau(w, x) <= (1 if len(x) < 6 else 2)) for x in o) or (len(w) >= 5 and w in (m or ""))
+            return any(w == x or (5 <= len(w) <= MAX_LETTERS and len(x) >= 5 and abs(len(w) - len(x)) <= 2 and damerau(w, x) <= (1 if len(x) < 6 else 2)) for x in o) or (len(w) >= 5 and w in (m or ""))
 
         return pd.Series([one(*x) for x in zip(word, maker, own, strict=True)], dtype=bool)
 

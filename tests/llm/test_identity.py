@@ -26,7 +26,7 @@ GROUPS = [
     [("7", "Leche Sikojol semidesnatada 1,5 L", "Gonnulzes", 1.5, "1 €/l")],
     [("8", "Atún claro Sikojol con tomate 100 g", "Pagrennis", 1.5, None), ("9", "ATUN CL. EN TOMATE SIKOJOL 0,1 kg", "Pagrennis", 1.4, None)],
     [("10", "Atún claro Sikojol con tomate 100 g", "Zubosfir", 1.5, None)],
-    [("11", "", None, None, None)], [("12", None, None, None, None)],
+    [("11", "", None, None, None)], [("12", None, None, None, None)], [("13", "x" * 50_000, "y" * 50_000, 1.0, "1 €/l")], [("14", "palabra " * 20_000, None, None, None)],
 ]
 
 
