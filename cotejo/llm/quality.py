@@ -42,10 +42,16 @@ def statistics(df: DataFrame, row: str, text: str, common: list[str]) -> DataFra
     fields = F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\s*\||;|\t+|(?<=\S) {2,}(?=\S)")))
     rows = rows.withColumns({"fields": F.filter(fields, lambda n: n > 1), "n_distinct": F.size(F.array_distinct("words"))})
     frequent = sorted({w.lower() for w in common if w})
-    t, n_lines, n_words, n_chars = F.col("t"), F.size("lines"), F.size("words"), F.length("t")
-    tokens = F.regexp_count(t, F.lit(r"\S+"))
+    t = F.col("t")
+    # what several shares use is made once
+    rows = rows.withColumns(
+        {
+            "tokens": F.regexp_count(t, F.lit(r"\S+")),
+            "sentences": F.regexp_count(t, F.lit(rf"\p{{L}}[\p{{L}}\p{{N}}%€)»\"']*\s*{_END}(?=\s|$)")),
+        }
+    )
+    n_lines, n_words, n_chars, tokens, sentence = F.size("lines"), F.size("words"), F.length("t"), F.col("tokens"), F.col("sentences")
     with_fields = F.size("fields")
-    sentence = F.regexp_count(t, F.lit(rf"\p{{L}}[\p{{L}}\p{{N}}%€)»\"']*\s*{_END}(?=\s|$)"))
     separators = F.regexp_count(t, F.lit(r"(?:(?<=\S), |; | / | · | \| )"))
     return rows.select(
         row, "readable",
