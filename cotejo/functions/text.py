@@ -38,8 +38,10 @@ def normalize(text: Column, stopwords: list[str] | None = None) -> Column:
     """
     out = strip_accents(F.lower(F.coalesce(text, F.lit(""))))
     out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}_{_SPACE}]", "")
-    out = F.regexp_replace(out, rf"[^{_SPACE}]*\p{{Nd}}[^{_SPACE}]*", "")
-    out = F.trim(F.regexp_replace(out, rf"[{_SPACE}]+", " "))
+    out = F.regexp_replace(out, rf"[{_SPACE}]+", " ")
+    # tried once per token, at its start; possessive, so a token without digit is read once
+    out = F.regexp_replace(out, r"(?<![^ ])[^ \p{Nd}]*+\p{Nd}[^ ]*+", "")
+    out = F.trim(F.regexp_replace(out, " {2,}", " "))
     if stopwords:
         drop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
         out = F.array_join(F.filter(F.split(out, " "), lambda w: ~F.array_contains(drop, w)), " ")
