@@ -3,7 +3,9 @@
 Trees are complete binary trees whose hyperplanes go through the median of a bounded sample, so leaves stay even wherever
 vectors crowd. Every vector is stored in its leaf of each tree and asks the ``probes`` leaves that one priority queue,
 shared by all trees and ordered by the largest margin crossed, gives first. Leaves are groups of an Arrow kernel that
-reranks all their vectors by exact cosine. Vectors of one direction (copies, also scaled ones) are one representative
+reranks all their vectors by exact cosine. How many leaves are asked is measured on every table: the least that finds
+TARGET of the true neighbours of held-out queries, in the crowded, middle and sparse third of them each. Where that costs
+more than comparing all pairs, all pairs are compared. Vectors of one direction (copies, also scaled ones) are one representative
 in all this and come back at the end, so a direction that a third of all rows share is no hot leaf."""
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ SAMPLE_ROWS = 20_000
 TREES, PROBES, LEAF_ROWS = 6, 8, 1024
 #: Rows of one side of a kernel's block; larger leaves are cut into blocks.
 BLOCK_ROWS = 4096
+#: Share of the true neighbours to find, the queries it is measured on, and the most probes tried for it.
+TARGET, QUERIES, MOST_PROBES = 0.99, 1024, 128
+#: Rows of one side of a block when all pairs are compared; copying a row to a group costs as much as comparing so many.
+EXACT_ROWS, COPY_ROWS = 32_768, 2000
 _ROUND = 5
 
 
@@ -135,9 +141,13 @@ def _kernel(k: int, floor: float, dim: int):
             part = a[s : s + 512]
             cosine = unit[part] @ unit[b].T
             cosine[rep[part][:, None] == rep[b][None, :]] = -2
+            least = np.full((len(part), 1), max(floor - 1e-5, -1.5), np.float32)
             if len(b) > k:
-                cosine[cosine < np.partition(cosine, len(b) - k, axis=1)[:, len(b) - k][:, None]] = -2
-            r, c = np.nonzero(cosine >= max(floor - 1e-5, -1.5))
+                # the k-th best of the maxima of disjoint groups is at most the k-th best; it is much cheaper
+                width = max(1, len(b) // max(64, 4 * k))
+                tops = cosine[:, : len(b) // width * width].reshape(len(part), -1, width).max(2)
+                least = np.maximum(least, np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k][:, None] - np.float32(1e-6))
+            r, c = np.divmod(np.flatnonzero(cosine >= least), max(len(b), 1))
             exact = np.einsum("ij,ij->i", unit[part[r]].astype(np.float64), unit[b[c]].astype(np.float64))
             found.append((rep[part[r]], rep[b[c]], exact))
         cols = [np.concatenate(x) if found else np.zeros(0) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -146,9 +156,47 @@ def _kernel(k: int, floor: float, dim: int):
     return run
 
 
+def _truth(rep: np.ndarray, ask: np.ndarray, k: int):
+    """The k most similar rows of each query in a partition of ``rep, unit``, all rows compared: ``query, near, cosine``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, dim = ask.shape
+        best, near = np.full((n, k), -2, np.float32), np.zeros((n, k, dim), np.float32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                unit = np.frombuffer(b"".join(part["unit"].to_pylist()), np.float32).reshape(-1, dim)
+                cosine = ask @ unit.T
+                cosine[rep[:, None] == part["rep"].to_numpy()[None, :]] = -2
+                cosine = np.hstack([best, cosine])
+                pick = np.argpartition(cosine, cosine.shape[1] - k, axis=1)[:, -k:]
+                best = np.take_along_axis(cosine, pick, 1)
+                near = np.where((pick < k)[:, :, None], np.take_along_axis(near, np.minimum(pick, k - 1)[:, :, None], 1), unit[np.maximum(pick - k, 0)])
+        q, c = np.nonzero(best > -1.5)
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array([x.tobytes() for x in near[q, c]], pa.binary()), pa.array(best[q, c].astype(np.float64))], names=["query", "near", "cosine"])
+
+    return run
+
+
+def probes_needed(forest: Forest, ask: np.ndarray, query: np.ndarray, near: np.ndarray, cosine: np.ndarray, floor: float, target: float, most: int) -> int | None:
+    """Probes with which ``target`` of the true neighbours (``query`` numbers rows of ``ask``) of cosine ``floor`` or more
+    are found in each third of the queries by how near their last neighbour is; none if ``most`` don't do."""
+    last = np.full(len(ask), np.inf)
+    np.minimum.at(last, query, cosine)
+    given, own = forest.leaves(ask, most), forest.leaves(near, forest.trees)
+    hit = (given[query][:, :, None] == own[:, None, :]).any(2)
+    first = np.where(hit.any(1), hit.argmax(1), most)
+    needed = 0
+    for third in np.array_split(np.argsort(last, kind="stable"), 3):
+        mine = np.sort(first[np.isin(query, third) & (cosine >= floor)])
+        if len(mine):
+            needed = max(needed, int(mine[int(np.ceil(target * len(mine))) - 1]) + 1)
+    return needed if needed <= given.shape[1] else None
+
+
 def neighbours(reps: DataFrame, dim: int, k: int, floor: float, trees: int = TREES, probes: int = PROBES, leaf_rows: int = LEAF_ROWS, seed: int = 3) -> DataFrame:
     """``rep, near, cosine``: up to k nearest of each representative with cosine of at least ``floor``, from ``rep long,
-    unit binary``."""
+    unit binary``. ``probes`` is the least number of leaves asked; as many as TARGET needs are."""
     total = reps.count()
     # reaches the driver: at most SAMPLE_ROWS vectors, chosen by hash
     sample = reps.select("unit", F.xxhash64(F.lit(seed), "rep").alias("o")).orderBy("o").limit(SAMPLE_ROWS).select("unit").toArrow()
@@ -157,7 +205,20 @@ def neighbours(reps: DataFrame, dim: int, k: int, floor: float, trees: int = TRE
     while (total >> depth) > leaf_rows and (len(fitted) >> depth) > 16:
         depth += 1
     forest = fit(fitted, depth, trees, seed)
-    blocks = max(1, -(-(total >> depth) // BLOCK_ROWS))
+    blocks, parts, exact = max(1, -(-(total >> depth) // BLOCK_ROWS)), max(1, -(-total // EXACT_ROWS)), depth == 0
+    if depth:
+        # reaches the driver: QUERIES vectors, other ones than the hyperplanes' as far as there are, and k for each
+        held_out = reps.select("rep", "unit", F.xxhash64(F.lit(seed + 1), "rep").alias("o")).orderBy("o").limit(QUERIES).select("rep", "unit").toArrow()
+        ask = np.frombuffer(b"".join(held_out["unit"].to_pylist()), np.float32).reshape(-1, dim)
+        true = reps.select("rep", "unit").mapInArrow(_truth(held_out["rep"].to_numpy(), ask, k), "query long, near binary, cosine double")
+        nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "near"))
+        true = true.withColumn("nth", nth).where(F.col("nth") <= k).select("query", "near", "cosine").toArrow()
+        near = np.frombuffer(b"".join(true["near"].to_pylist()), np.float32).reshape(-1, dim)
+        needed = probes_needed(forest, ask, true["query"].to_numpy(), near, true["cosine"].to_numpy(), floor, TARGET, MOST_PROBES)
+        probes = max(probes, needed or 0)
+        exact = needed is None or probes * (COPY_ROWS + (total >> depth)) > 2 * parts * COPY_ROWS + total
+    if exact:
+        forest, probes, blocks = fit(fitted, 0, 1), 1, parts
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +247,8 @@ def neighbours(reps: DataFrame, dim: int, k: int, floor: float, trees: int = TRE
         group = ["leaf", "qb", "mb"]
     found = asked.groupBy(*group).applyInArrow(_kernel(k, floor, dim), "rep long, near long, cosine double")
     # a pair that one side found is known to the other side too
-    both = found.unionAll(found.select(F.col("near").alias("rep"), F.col("rep").alias("near"), "cosine"))
-    both = both.groupBy("rep", "near").agg(F.max("cosine").alias("cosine")).where(F.col("cosine") >= floor)
+    both = found if exact else found.unionAll(found.select(F.col("near").alias("rep"), F.col("rep").alias("near"), "cosine"))
+    both = both.where(F.col("cosine") >= floor) if exact else both.groupBy("rep", "near").agg(F.max("cosine").alias("cosine")).where(F.col("cosine") >= floor)
     rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "near"))
     return both.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 

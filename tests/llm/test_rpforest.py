@@ -63,3 +63,37 @@ def test_own_leaves_come_first_and_queue_is_ordered():
 
 def test_empty(spark):
     assert rpforest.similar_pairs(_frame(spark, [], np.zeros((0, 16)), BAD), "id", "v", 16, 5, 0.9).count() == 0
+
+
+def _recall(rows, u, some, k):
+    got = {}
+    for r in rows:
+        got.setdefault(r[0], set()).add(r[1])
+    s = u[some] @ u.T
+    s[np.arange(len(some)), some] = -2
+    want = {int(i): set(np.argsort(-x, kind="stable")[:k].tolist()) for i, x in zip(some, s, strict=True)}
+    return sum(len(got.get(i, set()) & x) for i, x in want.items()) / (k * len(some))
+
+
+def test_neighbours_of_any_cosine_are_found(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(9000, 64))
+    v[:3000] = rng.normal(size=64) + v[:3000] * 0.3  # a third is crowded
+    u = np.float32(v / np.linalg.norm(v, axis=1, keepdims=True))
+    rows = rpforest.most_similar(_frame(spark, range(9000), u), "id", "v", 64, 5).collect()
+    assert len(rows) == len({(r["id"], r["near"]) for r in rows}) == 45_000
+    assert _recall(rows, u, np.arange(0, 3000, 10), 5) >= 0.99 and _recall(rows, u, np.arange(3000, 9000, 20), 5) >= 0.99
+
+
+@pytest.mark.parametrize("rows", [2000, 8000])
+def test_probes_follow_the_target(spark, monkeypatch, rows):
+    monkeypatch.setattr(rpforest, "COPY_ROWS", 0)
+    monkeypatch.setattr(rpforest, "MOST_PROBES", 400)
+    asked, leaves = [], rpforest.probes_needed
+    monkeypatch.setattr(rpforest, "probes_needed", lambda *x: asked.append(leaves(*x)) or asked[-1])
+    v = np.random.default_rng(6).normal(size=(rows, 8))
+    u = np.float32(v / np.linalg.norm(v, axis=1, keepdims=True))
+    reps = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(u)], "rep long, unit binary")
+    found = rpforest.neighbours(reps, 8, 5, -1.0, leaf_rows=64).select("rep", "near").collect()
+    assert asked[0] > rpforest.PROBES and asked[0] * 64 < rows * 2
+    assert _recall(found, u, np.arange(0, rows, rows // 400), 5) >= 0.98
