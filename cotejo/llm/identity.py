@@ -313,8 +313,8 @@ def products(df: DataFrame, row: str) -> DataFrame:
 
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``v, label``: the smallest node reachable, for the nodes of bipartite links ``u, v``, by rounds of minima over
-    both sides, each cut through storage, until nothing changes."""
-    links = cut(links.where("u <> v").distinct())
+    both sides, each cut through storage, until nothing changes. The sides are apart: a key and a node may have one name."""
+    links = cut(links.distinct())
     state = links.select("v").distinct().withColumn("label", F.col("v"))
     if links.isEmpty():
         return state

@@ -53,3 +53,14 @@ def test_components(spark):
     edges = [("u1", "a"), ("u1", "b"), ("u2", "b"), ("u2", "c"), ("u3", "d"), ("u3", "e"), ("u4", "c"), ("u4", "z")]
     got = {r["v"]: r["label"] for r in identity.components(spark.createDataFrame(edges, "u string, v string")).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "z": "a", "d": "d", "e": "d"}
+
+
+def test_incomplete_rows_join_by_a_reliable_key(spark):
+    rows = [
+        (1, "X", "Leche Sikojol semi 1 L", "G", 1.0, None), (2, "X", "Leche Sikojol semi", "G", None, None),
+        (3, None, "Leche Sikojol semi 3 L 4006381333931", "G", 3.0, None), (4, None, "Otra cosa 4006381333931", "G", None, None),
+        (5, "Y", "Leche Sikojol semi 1000 ml", "G", 1.0, None), (6, "Y", "Otra cosa", None, None, None), (7, "Z", "Otra cosa", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "rep_id long, id string, description string, brand string, price double, unit_price string")
+    got = {tuple(r) for r in identity.same_product_pairs(df, "rep_id").collect()}
+    assert got == {*combinations((1, 2, 5, 6), 2), (3, 4)}
