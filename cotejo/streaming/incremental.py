@@ -27,12 +27,16 @@ def hourly_counts(feed: DataFrame, time: str = "scraped_at", late: str = "2 days
 
 def upsert_latest(feed: DataFrame, target: str, checkpoint: str, key: str = "id", order: str = "pos") -> StreamingQuery:
     """Keeps the last row of each key in a parquet table. Every batch writes a new version folder, named by its batch
-    number, so a repeated batch overwrites its own version and readers of the one before aren't disturbed."""
-    import os
+    number, so a repeated batch overwrites its own version and readers of the one before aren't disturbed. A version
+    that should be there and isn't is an error."""
 
     def write(batch: DataFrame, number: int) -> None:
         before = f"{target}/v={number - 1}"
-        if number > 0 and os.path.exists(before):
+        if number > 0:
+            jvm, conf = batch.sparkSession._jvm, batch.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            path = jvm.org.apache.hadoop.fs.Path(before)
+            if not path.getFileSystem(conf).exists(path):
+                raise FileNotFoundError(f"batch {number} needs the version before it, {before}")
             batch = batch.unionByName(batch.sparkSession.read.parquet(before), allowMissingColumns=True)
         rest = [c for c in batch.columns if c != key]
         last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r"))

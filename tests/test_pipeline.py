@@ -92,3 +92,16 @@ def test_entry_imports_without_the_optional_package(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "p1_found" in entry.queries()
+
+
+def test_upsert_keeps_earlier_keys_at_a_target_with_a_scheme(spark, tmp_path):
+    schema = "id string, pos long, brand string"
+    for n, rows in enumerate([[("1", 1, "a"), ("2", 2, "b")], [("1", 3, "c")], [("3", 4, "d")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if n < 2:
+            feed = incremental.product_feed(spark, str(tmp_path / "in"), schema)
+            incremental.upsert_latest(feed, f"file:{tmp_path}/out", str(tmp_path / "c")).awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v=1")).select("id", "brand").collect()) == [("1", "c"), ("2", "b")]
+    (tmp_path / "out/v=1").rename(tmp_path / "gone")
+    with pytest.raises(Exception, match="needs the version before it"):
+        incremental.upsert_latest(incremental.product_feed(spark, str(tmp_path / "in"), schema), f"file:{tmp_path}/out", str(tmp_path / "c")).awaitTermination()
