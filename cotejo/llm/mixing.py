@@ -20,6 +20,8 @@ BLOCK_TOKENS = 1000
 SHARD_TOKENS = 500_000
 #: Shards of one source at most; beyond it shards grow, and their sort spills.
 MAX_SHARDS = 4096
+#: Times that a document of a target may be used: none given is once.
+_CAP = "greatest(0, max(coalesce(max_repeats, 1)))"
 
 
 def sainte_lague(weights: dict, seats: int, caps: dict | None = None) -> dict:
@@ -50,7 +52,7 @@ class MixPlan:
 
 def sized(df: DataFrame, row: str, text: str, source: str, targets: DataFrame, name: str, folder: str, seed: int) -> DataFrame:
     """``row, source, tokens, max_repeats`` of the documents that can be used, cut through storage: they are tokenized once."""
-    wanted = targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0)).groupBy("source").agg(F.max("max_repeats").alias("max_repeats"))
+    wanted = targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0)).groupBy("source").agg(F.expr(_CAP).alias("max_repeats"))
     rows = df.select(F.col(row).alias("row"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.coalesce(F.length("text") > 0, F.lit(False)))
     rows = rows.join(F.broadcast(wanted), "source")  # the list of sources is a configuration table
     return cut(rows.select("row", "source", "max_repeats", token_count(F.col("text"), name, folder).alias("tokens"), F.xxhash64(F.lit(seed), "row").alias("place")).where("tokens > 0"))
@@ -59,10 +61,10 @@ def sized(df: DataFrame, row: str, text: str, source: str, targets: DataFrame, n
 def plan_mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, total_tokens: int | None = None) -> tuple[MixPlan, DataFrame, list]:
     """The plan, the documents with their shard, and the list of targets. Reaches the driver: one row a source, then one
     row a shard."""
-    wanted = [(r["source"], r["target_share"], max(0, r["max_repeats"] or 0)) for r in targets.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).collect()]
+    wanted = [(r["source"], r["target_share"], r["max_repeats"]) for r in targets.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.expr(_CAP).alias("max_repeats")).collect()]
     supply = {r["source"]: r["tokens"] for r in docs.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
-    shares = {s: w for s, w, _ in wanted if supply.get(s)}
     repeats = {s: m for s, _, m in wanted}
+    shares = {s: w for s, w, _ in wanted if supply.get(s) and repeats[s]}
     weight = sum(shares.values())
     most = min((supply[s] * repeats[s] * weight / w for s, w in shares.items()), default=0)
     most = most if total_tokens is None else min(most, total_tokens)
@@ -103,7 +105,7 @@ def choose(docs: DataFrame, plan: MixPlan, seed: int) -> DataFrame:
 
 def mix(df: DataFrame, row: str, text: str, source: str, targets: DataFrame, name: str = "byte_bpe_50k", folder: str = VOCABULARIES, seed: int = 7, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(chosen documents, report). Documents without text or of a source that isn't a target are never chosen; a source
-    without any document gets nothing and is reported unfilled, the others keep their proportions. Repeated texts are
+    without any document, or of no repeats, gets nothing and is reported unfilled, the others keep their proportions. Repeated texts are
     documents of their own. The report has one row per target: its share, the share reached, tokens, documents, the
     tokens that its cap allows and whether it could be filled."""
     plan, docs, wanted = plan_mix(sized(df, row, text, source, targets, name, folder, seed), targets, total_tokens=total_tokens)

@@ -47,3 +47,13 @@ def test_shares_repeats_and_edges(spark):
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in chosen.collect()}
     empty = mixing.mix(df.limit(0), "doc_id", "text", "source", targets)
     assert empty[0].count() == 0 and {r["filled"] for r in empty[1].collect()} == {False}
+
+
+def test_no_repeats_given_is_once_and_none_allowed_leaves_the_others(spark):
+    rows = [(i, "abc"[i % 3], "palabra de casa " * (5 + i % 30)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.4, None), ("c", 0.2, 0)], "source string, target_share double, max_repeats int")
+    chosen, report = mixing.mix(df, "doc_id", "text", "source", targets)
+    got = {r["source"]: r for r in report.collect()}
+    assert not got["c"]["filled"] and abs(got["a"]["actual_share"] - 0.5) < 0.01 and abs(got["b"]["actual_share"] - 0.5) < 0.01
+    assert got["b"]["most_repeats"] == got["b"]["max_repeats"] == 1 and {r["source"] for r in chosen.collect()} == {"a", "b"}
