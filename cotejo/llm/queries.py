@@ -35,6 +35,12 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canon.canonical_columns(table(spark, d, "documents").select("doc_id", "text", "brand"), ["text", "brand"])
 
 
+def p5_products(spark: SparkSession, d: str) -> DataFrame:
+    """Description, denomination and brand of every product row in their one form."""
+    rows = table(spark, d, "products").select("pos", "id", "description", "denomination", "brand")
+    return canon.canonical_columns(rows, ["description", "denomination", "brand"])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return bktree.map_rows(table(spark, d, "products"), "pos", "brand", table(spark, d, "brand_reference"), "brand_id", "brand_name")
 
@@ -76,7 +82,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _typed(spark, d).withColumn("certainty", F.array_max("posterior")).drop("votes", "posterior", "readable")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_products, p5_found, p5_canonical, p6_found, p7_found, p7_neighbours, p8_ids, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_products, p5_found, p5_canonical, p5_products, p6_found, p7_found, p7_neighbours, p8_ids, p9_mix, p9_shares, p10_found, p10_statistics)}
 
 
 def _form(column: str) -> str:

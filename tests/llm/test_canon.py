@@ -46,3 +46,12 @@ def test_pairs_are_brute_force(spark):
     got = [tuple(r) for r in canon.lookalike_pairs(df, "pos", "id", ["description", "brand"]).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert canon.lookalike_pairs(df.limit(0), "pos", "id", ["brand"]).count() == 0
+
+
+def test_every_product_row_in_its_one_form(spark, tmp_path):
+    from cotejo.llm.queries import QUERIES
+
+    rows = [(1, "a", "Lеche", None, "Ｘ"), (2, None, "Leche", "toma\u200bte", ""), (3, "b", None, "ﬁletes", "Garćía")]
+    spark.createDataFrame(rows, "pos long, id string, description string, denomination string, brand string").write.parquet(str(tmp_path / "products.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["p5_products"](spark, str(tmp_path)).select("pos", "id", "description", "denomination", "brand").collect())
+    assert got == [(1, "a", "Leche", None, "X"), (2, None, "Leche", "tomate", ""), (3, "b", None, "filetes", "Garćía")]
