@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.functions.encoders import HashingEncoder, encode, main_words
-from cotejo.operators import catalog, categories, dedup, evaluate, matching
+from cotejo.operators import catalog, categories, dedup, evaluate, flatten, matching
 from cotejo.operators.vectors import knn_join
 from cotejo.sources import readers, sinks
 
@@ -96,21 +96,33 @@ def evaluate_norepeat(report: DataFrame) -> DataFrame:
     return evaluate.repeat_message(evaluate.repeats(evaluate.similar_ids(report.withColumnRenamed("pos", "row")), "item", "row"))
 
 
-def run_report(spark: SparkSession, products_path: str, map_path: str, out: str, config: Config, truth_path: str | None = None) -> dict[str, str]:
-    """All stages in order on JSON files; returns the folders written. Vectors and matches are written and read again,
+def export_table(report: DataFrame) -> DataFrame:
+    """The report as one flat row per pair, the first of a repeated one; a column per path that occurs."""
+    rows = report.select("pos", F.col("id").alias("a"), F.get("similar_products", F.lit(0))["id"].alias("b"), F.to_json(F.struct(*[c for c in report.columns if c != "pos"]), {"ignoreNullFields": "false"}).alias("doc"))
+    return flatten.ragged_table(dedup.first_pair_wins(rows, "a", "b", "pos"), "pos", "doc").drop("item")
+
+
+def run_report(spark: SparkSession, products_path: str, map_path: str | None, out: str, config: Config, truth_path: str | None = None) -> dict[str, str]:
+    """All stages in order on JSON files; returns the folders written. Without a map one is made. Vectors and matches are written and read again,
     which also cuts their lineage."""
     products = readers.read_products(spark, products_path)
     base = f"{out}/{config.run}"
+    if map_path is None:
+        map_path = f"{base}/category_map"
+        sinks.write_json_document(generate_category_map(products, config), map_path)
     processed = tokenize(products, readers.read_category_map(spark, map_path), config)
     sinks.write_buckets(processed, f"{base}/buckets")
-    processed = readers.read_buckets(spark, f"{base}/buckets")
+    processed = readers.read_buckets(spark, f"{base}/buckets", schema=processed.schema)  # there are no files if no category is mapped
     sinks.write_json(catalog.category_counter(products.where(F.contains("supermarket", F.lit(config.supermarket_a))), products.where(F.contains("supermarket", F.lit(config.supermarket_b)))), f"{base}/counter")
     matches = find_similarities(processed, config)
     matches.write.mode("overwrite").parquet(f"{base}/matches")
     one = processed.groupBy("pos").agg(F.min("product_concatenation").alias("product_concatenation"))
     report = match_report(spark.read.parquet(f"{base}/matches"), products.join(one, "pos"), config)
     sinks.write_json(report, f"{base}/rawreport")
-    written = {k: f"{base}/{k}" for k in ("buckets", "counter", "matches", "rawreport")}
+    sinks.write_report_csv(export_table(spark.read.schema(report.schema).json(f"{base}/rawreport")), f"{base}/export")
+    written = {k: f"{base}/{k}" for k in ("buckets", "counter", "matches", "rawreport", "export")}
+    if map_path == f"{base}/category_map":
+        written["category_map"] = map_path
     if truth_path and {config.supermarket_a.lower(), config.supermarket_b.lower()} <= {"eroski", "makro"}:
         general, rows = evaluate_matches(report, readers.read_truth(spark, truth_path))
         sinks.write_report_csv(rows, f"{base}/evaluation")
@@ -122,8 +134,9 @@ def run_report(spark: SparkSession, products_path: str, map_path: str, out: str,
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    for name in ("products", "map", "out"):
+    for name in ("products", "out"):
         parser.add_argument(f"--{name}", required=True)
+    parser.add_argument("--map", help="category map; made if none is given")
     parser.add_argument("--truth")
     parser.add_argument("--white-labels")
     parser.add_argument("--match-mode", choices=["independent", "global"], default="independent")

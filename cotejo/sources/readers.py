@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cotejo.session import cut
 from cotejo.sources import schemas
@@ -91,9 +92,9 @@ def read_golden_set(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("a").alias("pair"))
 
 
-def read_buckets(spark: SparkSession, path: str, category_key: str | None = None, brand_type: str | None = None) -> DataFrame:
-    """The bucket table; filters on its partition columns prune folders."""
-    rows = spark.read.parquet(path)
+def read_buckets(spark: SparkSession, path: str, category_key: str | None = None, brand_type: str | None = None, schema: StructType | None = None) -> DataFrame:
+    """The bucket table; filters on its partition columns prune folders. An empty table needs its ``schema``."""
+    rows = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     for name, value in (("category_key", category_key), ("brand_type", brand_type)):
         if value is not None:
             rows = rows.where(F.col(name) == value)

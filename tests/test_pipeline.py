@@ -105,3 +105,18 @@ def test_upsert_keeps_earlier_keys_at_a_target_with_a_scheme(spark, tmp_path):
     (tmp_path / "out/v=1").rename(tmp_path / "gone")
     with pytest.raises(Exception, match="needs the version before it"):
         incremental.upsert_latest(incremental.product_feed(spark, str(tmp_path / "in"), schema), f"file:{tmp_path}/out", str(tmp_path / "c")).awaitTermination()
+
+
+def test_run_makes_the_map_and_exports(spark, tmp_path):
+    _products(tmp_path / "p.json")
+    config = pipeline.Config(white_labels=("EROSKI",), run="r2")
+    out = pipeline.run_report(spark, str(tmp_path / "p.json"), None, str(tmp_path / "o"), config)
+    made = readers.read_category_map(spark, out["category_map"]).first()
+    assert [e["source_category"] for e in made["mapping_results"]] == ["lacteos/leche"]
+    rows = spark.read.json(out["rawreport"]).count()
+    flat = readers.read_csv_report(spark, out["export"])
+    assert rows == flat.count() and (rows == 0 or "similar_products.0.id" in flat.columns)
+    similar = "array<struct<id:string,distance:double>>"
+    report = spark.createDataFrame([(0, "7", None, [("M", 0.5)]), (1, "7", "x", [("M", 0.1)]), (2, "8", "y", [("N", 0.2)])], f"pos long, id string, brand string, similar_products {similar}")
+    got = pipeline.export_table(report).orderBy("pos").collect()
+    assert [(r["pos"], r["id"], r["brand"], r["similar_products.0.id"], r["similar_products.0.distance"]) for r in got] == [(0, "7", "", "M", "0.5"), (2, "8", "y", "N", "0.2")]
