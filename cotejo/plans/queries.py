@@ -148,10 +148,38 @@ def dedup_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
-    """rawreport with its first similar product as a typed list, EROSKI rows on the left."""
-    item = "array<struct<id:string,productIdInSupermarket:string,description:string,denomination:string,distance:double>>"
-    rows = table(spark, d, "rawreport").where(F.contains("supermarket", F.lit("EROSKI")))
-    return rows.select(F.col("rep_id").alias("pos"), "id", "description", F.from_json("similar_products", item).alias("similar_products"))
+    """rawreport with its similar products as a typed list, EROSKI rows on the left. An object in place of the list is its
+    only element; elements that aren't objects keep their place; the older key of an id counts where there is no id."""
+    rows = table(spark, d, "rawreport").where(F.contains("supermarket", F.lit("EROSKI"))).withColumn("v", F.try_parse_json("similar_products"))
+    items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.when(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.array("v")))
+    get = lambda x, name, kind="string": F.try_variant_get(x, f"$.{name}", kind)
+    typed = F.transform(items, lambda x: F.struct(F.coalesce(get(x, "id"), get(x, "productIdInSupermarket")).alias("id"), get(x, "description").alias("description"), get(x, "denomination").alias("denomination"), get(x, "distance", "double").alias("distance")))
+    return rows.select(F.col("rep_id").alias("pos"), "id", "description", typed.alias("similar_products"))
+
+
+def report_norepeat(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated similar products of rawreport."""
+    return evaluate.repeats(evaluate.similar_ids(_report(spark, d).withColumnRenamed("pos", "row")), "item", "row")
+
+
+def report_norepeat_message(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.repeat_message(report_norepeat(spark, d))
+
+
+def report_eval_general(spark: SparkSession, d: str) -> DataFrame:
+    """rawreport against the known matches."""
+    return evaluate.general_report(evaluate.micro_metrics(evaluate.outcomes(evaluate.report_pairs(_report(spark, d)), truth_pairs(spark, d))))
+
+
+def report_eval_report(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.evaluation_report(evaluate.report_pairs(_report(spark, d)), _known(spark, d))
+
+
+def product_category_map(spark: SparkSession, d: str) -> DataFrame:
+    """The map of all product categories of the two groups, by the pipeline's stage."""
+    from cotejo.plans import pipeline
+
+    return pipeline.generate_category_map(table(spark, d, "products"), pipeline.Config()).select("source_supermarket", "target_supermarket", F.explode("mapping_results").alias("m")).select("source_supermarket", "target_supermarket", "m.*")
 
 
 def _pair_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -175,9 +203,13 @@ def eval_report(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.evaluation_report(*_pair_sets(spark, d)).select("section", "outcome", "match_type", "error_type", "a_id", "b_id", "distance")
 
 
-def truth_pairs(spark: SparkSession, d: str) -> DataFrame:
+def _known(spark: SparkSession, d: str) -> DataFrame:
     truth = table(spark, d, "known_matches")
-    return evaluate.truth_pairs(truth, "er_referencia_eroski", "ref_competidor", ("eroski_denomination", "makro_denomination")).select("a_id", "b_id")
+    return evaluate.truth_pairs(truth, "er_referencia_eroski", "ref_competidor", ("eroski_denomination", "makro_denomination"))
+
+
+def truth_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _known(spark, d).select("a_id", "b_id")
 
 
 def eval_categories_macro(spark: SparkSession, d: str) -> DataFrame:
@@ -286,5 +318,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     normalize_text, slug_categories, accent_removal, category_filter, category_counter, white_label, brand_min_count, product_text,
     legacy_product_text, dedup_last_wins, dedup_pairs, eval_matches, eval_general, eval_report, truth_pairs, eval_categories_macro,
     eval_categories, norepeat, norepeat_message, flatten_json, flatten_report, csv_columns, translate_lookup, golden_set_expand,
-    bucket_pairing, map_entries, slug_originals, p1_units, p1_found, p2_found, p2_since_latest, p3_found,
+    bucket_pairing, map_entries, slug_originals, report_norepeat, report_norepeat_message, report_eval_general, report_eval_report, product_category_map, p1_units, p1_found, p2_found, p2_since_latest, p3_found,
 )} | {"p3_products": p3_products, "p3_offers": p3_offers, "p3_promos": p3_promos, "p3_tiers": p3_tiers}

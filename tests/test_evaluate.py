@@ -51,3 +51,17 @@ def test_category_outcomes_with_null_target(spark):
 def test_truth_pairs(spark):
     df = spark.createDataFrame([("007", "1", "n", 1), ("007", "1", "m", 2), ("", "2", "x", 3), ("N/A", "2", "x", 4), (None, "2", "x", 5), ("8", " ", "x", 6)], "a string, b string, t string, pos int")
     assert [tuple(r) for r in evaluate.truth_pairs(df, "a", "b", ("t", None), "pos").collect()] == [("007", "1", "m", "N/A")]
+
+
+def test_report_queries_read_rawreport_and_known_matches(spark, tmp_path):
+    from cotejo.plans.queries import QUERIES
+
+    rows = [(0, "EROSKI", "1", "a", '[{"id": "M1", "distance": "0.5"}]'), (1, "EROSKI", "2", "b", '{"productIdInSupermarket": "M1"}'), (2, "EROSKI", "3", "c", '[7, {"id": "M1"}]'), (3, "EROSKI", "4", "d", "[{"), (4, "Makro", "5", "e", '[{"id": "M1"}]'), (5, "EROSKI", "6", "f", None)]
+    spark.createDataFrame(rows, "rep_id long, supermarket string, id string, description string, similar_products string").write.parquet(str(tmp_path / "rawreport.parquet"))
+    spark.createDataFrame([("1", "M1", "a", "m"), ("9", "M9", "x", "y")], "er_referencia_eroski string, ref_competidor string, eroski_denomination string, makro_denomination string").write.parquet(str(tmp_path / "known_matches.parquet"))
+    spark.createDataFrame([("EROSKI", "leche"), ("EROSKI", "pan"), ("EROSKI", "pan"), ("Makro", "leche")], "supermarket string, category string").write.parquet(str(tmp_path / "products.parquet"))
+    run = lambda name: [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    assert run("report_norepeat") == [("M1", 0, 1)] and run("report_norepeat_message")[0][0] == 1
+    assert run("report_eval_general")[0][:3] == (1, 1, 1)
+    assert sorted((r[1], r[4], r[5], r[6]) for r in run("report_eval_report"))[:2] == [("FN", "9", "M9", None), ("FP", "2", "M1", 999.0)]
+    assert sorted(r[2] for r in run("product_category_map")) == ["leche", "pan"]
