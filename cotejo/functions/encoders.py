@@ -30,6 +30,24 @@ class HashingEncoder:
         return out / np.where(norm == 0, 1, norm)
 
 
+class MeanTokenEncoder:
+    """The earlier text vector: the mean over all token places of a text, cut to ``max_tokens`` and padded to the longest
+    of its batch without masking. ``token_vectors`` gives the vectors of a text's tokens (places, dim) and ``pad`` the
+    vector of an empty place; texts are encoded one by one, as they were, unless ``batch`` is larger."""
+
+    def __init__(self, token_vectors: Callable[[str], np.ndarray], pad: np.ndarray, max_tokens: int = 128, batch: int = 1) -> None:
+        self.token_vectors, self.pad, self.max_tokens, self.batch = token_vectors, np.asarray(pad, np.float32), max_tokens, batch
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), len(self.pad)), np.float32)
+        for start in range(0, len(texts), self.batch):
+            rows = [np.asarray(self.token_vectors(t or ""), np.float32).reshape(-1, len(self.pad))[: self.max_tokens] for t in texts[start : start + self.batch]]
+            places = max(1, *(len(r) for r in rows))
+            for i, r in enumerate(rows):
+                out[start + i] = (r.sum(0) + (places - len(r)) * self.pad) / places
+        return out
+
+
 def encode(df: DataFrame, text: str, out: str, load: Callable[[], HashingEncoder] = HashingEncoder) -> DataFrame:
     """Adds ``array<float>`` of each text, in Arrow batches; ``load`` runs once per worker. Null counts as empty."""
 

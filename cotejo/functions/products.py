@@ -1,8 +1,8 @@
-"""Product expressions: brand flags, texts, legacy texts, formatting."""
+"""Product expressions: brand flags, texts, legacy texts, formatting."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cotejo.functions.text import normalize
@@ -74,10 +74,6 @@ def percent(share: Column) -> Column:
     return F.format_string("%.2f%%", share * 100)
 
 
-def with_default(column: Column, default: object) -> Column:
-    return F.coalesce(column, F.lit(default))
-
-
-def per_supermarket(df: DataFrame, column: str, supermarket: str) -> DataFrame:
-    """The column under its dynamic name, such as ``category_EROSKI``."""
-    return df.withColumnRenamed(column, f"{column}_{supermarket}")
+def per_supermarket(column: str, supermarket: str) -> str:
+    """The column's dynamic name, such as ``category_EROSKI``."""
+    return f"{column}_{supermarket}"

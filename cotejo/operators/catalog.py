@@ -41,10 +41,27 @@ def bucket_all(products: DataFrame) -> DataFrame:
     return products.withColumn("bucket", F.lit(""))
 
 
-def category_counter(source: DataFrame, target: DataFrame, category: str = "category") -> DataFrame:
-    """Products per category key over both sides; a product counts once for each bucket it is in."""
-    keys = source.select(category_key(F.col(category)).alias("category_key")).unionAll(target.select(category_key(F.col(category)).alias("category_key")))
-    return keys.groupBy("category_key").agg(F.count("*").alias("n_products"))
+def filter_categories(products: DataFrame, category: str, categories: list[str]) -> DataFrame:
+    """Products whose category key begins with the key of one of ``categories``, each once; no categories at all keep
+    every product."""
+    if not categories:
+        return products
+    patterns = products.sparkSession.createDataFrame([(c,) for c in sorted(set(categories))], "c string").select(category_key(F.col("c")).alias("__pattern")).distinct()
+    keyed = products.withColumn("__cat", category_key(F.col(category)))
+    inside = prefix_join(keyed.select("__cat").distinct(), "__cat", patterns, "__pattern").select("__cat").distinct()
+    return keyed.join(inside, "__cat", "left_semi").drop("__cat")
+
+
+def category_counter(source: DataFrame, target: DataFrame, pairs: DataFrame, category: str = "category") -> DataFrame:
+    """``category_key, n_products``: products of both sides by their own category key, counted once for every mapping
+    (``source_key, target_key``) whose pattern of their side begins it. Keys are counted first and then meet the
+    patterns, so a hot category is one row."""
+
+    def hits(products: DataFrame, side: str) -> DataFrame:
+        counts = products.groupBy(category_key(F.col(category)).alias("category_key")).agg(F.count("*").alias("n"))
+        return prefix_join(counts, "category_key", pairs.select(F.col(f"{side}_key").alias("__pattern")), "__pattern").select("category_key", "n")
+
+    return hits(source, "source").unionAll(hits(target, "target")).groupBy("category_key").agg(F.sum("n").alias("n_products"))
 
 
 def classify_brands(products: DataFrame, patterns: list[str], min_count: int = 1, within: list[str] | None = None) -> DataFrame:

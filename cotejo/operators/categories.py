@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.functions.text import slug
+from cotejo.operators.evaluate import category_labels, macro_metrics
 from cotejo.operators.vectors import knn_join, weighted_vector
 
 THRESHOLD, WEIGHTS = 0.5, (0.5, 0.5)
 
 
+class Translator(Protocol):
+    def translate_batch(self, texts: list[str]) -> list[str]: ...
+
+    def translate(self, text: str) -> str: ...
+
+
 def distinct_categories(products: DataFrame, category: str = "category") -> DataFrame:
     return products.where(F.col(category).isNotNull()).select(F.col(category).alias("category")).distinct()
 
@@ -24,6 +35,42 @@ def translate(words: DataFrame, word: str, dictionary: DataFrame | None) -> Data
     return words.join(entries, F.col(word) == F.col("__o"), "left").withColumn("translated", F.coalesce("__t", F.col(word))).drop("__o", "__t")
 
 
+def translate_new(words: DataFrame, word: str, cache: DataFrame, load: Callable[[], Translator]) -> DataFrame:
+    """The cache with the words that it lacks: ``original, translated``. Each Arrow batch is tried as a whole, then word by
+    word where that fails; a word that fails alone stays as it is. ``load`` makes the translator once a worker."""
+    known = cache.where(F.col("original").isNotNull()).groupBy("original").agg(F.min("translated").alias("translated"))
+    new = words.where(F.col(word).isNotNull()).select(F.col(word).alias("original")).distinct().join(known, "original", "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        translator = load()
+
+        def one(text: str) -> str:
+            try:
+                return translator.translate(text)
+            except Exception:  # noqa: BLE001 - whatever a caller's translator raises, the word stays
+                return text
+
+        for batch in batches:
+            texts = batch["original"].tolist()
+            try:
+                done = list(translator.translate_batch(texts))
+                if len(done) != len(texts):
+                    raise ValueError("not one translation a word")
+            except Exception:  # noqa: BLE001
+                done = [one(t) for t in texts]
+            yield pd.DataFrame({"original": texts, "translated": [t if d is None else d for d, t in zip(done, texts)]})
+
+    return known.unionByName(new.mapInPandas(run, "original string, translated string"))
+
+
+def map_metrics(mapping: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row of macro precision, recall and f1 of a map against an evaluation set, both as slugs; categories that the
+    set doesn't list are left out, of a source mapped twice the greater target counts."""
+    named = lambda df, target: df.select(slug(F.col("source_category")).alias("source_category"), slug(F.col(target)).alias("target_category"))
+    predicted = named(mapping, "matched_target_category").withColumn("pos", F.coalesce("target_category", F.lit("")))
+    return macro_metrics(category_labels(predicted, named(truth, "target_category").distinct()), "expected", "predicted")
+
+
 def map_categories(source: DataFrame, target: DataFrame, name: str, vectors: list[str], weights: tuple[float, ...] = WEIGHTS, threshold: float = THRESHOLD) -> DataFrame:
     """``source_category, matched_target_category, similarity_score``: the target of the highest weighted cosine, null
     below ``threshold`` (compared before rounding to 4 places). Ties go to the first target in code-point order.

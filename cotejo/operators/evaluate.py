@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cotejo.functions.products import percent
+from cotejo.operators.skew import fragment_replicate_join
+
 #: Texts that a truth file uses for a missing id.
 MISSING_IDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
@@ -51,8 +54,7 @@ def micro_metrics(found: DataFrame) -> DataFrame:
 
 
 def general_report(metrics: DataFrame) -> DataFrame:
-    pct = lambda c: F.format_string("%.2f%%", F.col(c) * 100).alias(c)
-    return metrics.select("tp", "fp", "fn", pct("precision"), pct("recall"), pct("f1"))
+    return metrics.select("tp", "fp", "fn", *[percent(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def evaluation_report(generated: DataFrame, truth: DataFrame) -> DataFrame:
@@ -105,10 +107,11 @@ def category_outcomes(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 
 def repeats(report: DataFrame, item: str, row: str) -> DataFrame:
     """Later rows of an item with the row of its first: ``item, first_row, repeated_row``. Null and empty items are
-    skipped. First rows come from an aggregate, so a hot item is not one sorted window."""
+    skipped. First rows come from an aggregate and go back to the rows by the load-balanced join, so a hot item is
+    several tasks."""
     rows = report.where(F.coalesce(F.col(item).cast("string"), F.lit("")) != "").select(F.col(item).alias("item"), F.col(row).alias("repeated_row"))
     firsts = rows.groupBy("item").agg(F.min("repeated_row").alias("first_row"))
-    return rows.join(firsts, "item").where(F.col("repeated_row") > F.col("first_row")).select("item", "first_row", "repeated_row")
+    return fragment_replicate_join(rows, firsts, "item", F.col("repeated_row")).where(F.col("repeated_row") > F.col("first_row")).select("item", "first_row", "repeated_row")
 
 
 def repeat_message(found: DataFrame) -> DataFrame:

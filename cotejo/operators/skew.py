@@ -43,22 +43,21 @@ def pack(items: list[tuple[object, int]], tasks: int) -> tuple[dict[object, int]
 
 
 def plan_loads(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
-    """Counts the load of every key of all rows and packs it. A null key is a key like any other."""
+    """Counts the load of every key of all rows, in one pass, and packs it. A null key is a key like any other."""
     tasks = tasks or shuffle_width(df.sparkSession)
     buckets = tasks * BUCKETS_PER_TASK
-    counts = df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(buckets)))
-    # one row a bucket and at most tasks * HEAVY_PARTS heavy keys reach the driver
-    by_bucket = counts.groupBy("b").agg(F.sum("n").alias("n")).collect()
-    rows = sum(r["n"] for r in by_bucket)
-    limit = max(1, rows // (tasks * HEAVY_PARTS))
-    heavy = counts.where(F.col("n") > limit).collect()
-    left = {r["b"]: r["n"] for r in by_bucket}
-    for r in heavy:
-        left[r["b"]] -= r["n"]
-    shards = {r["k"]: max(1, -(-r["n"] // limit)) for r in heavy}
-    items = [(("key", r["k"], i), -(-r["n"] // shards[r["k"]])) for r in heavy for i in range(shards[r["k"]])]
-    where, load = pack(items + [(("bucket", b), n) for b, n in left.items() if n], tasks)
-    return LoadPlan(tasks, buckets, {r["k"]: [where["key", r["k"], i] for i in range(shards[r["k"]])] for r in heavy}, [where.get(("bucket", b), b % tasks) for b in range(buckets)], load)
+    counts = df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.greatest(F.lit(1), F.floor(F.sum("n") / (tasks * HEAVY_PARTS))).alias("limit"))  # one row, from the same exchange
+    marked = counts.crossJoin(F.broadcast(total)).withColumns({"b": F.pmod(F.xxhash64("k"), F.lit(buckets)), "heavy": F.col("n") > F.col("limit")})
+    # reaches the driver: one row a bucket, with at most tasks * HEAVY_PARTS heavy keys in all of them
+    rows = marked.groupBy("b").agg(F.sum(F.when(~F.col("heavy"), F.col("n"))).alias("n"), F.max("limit").alias("limit"), F.collect_list(F.when(F.col("heavy"), F.struct("k", "n"))).alias("heavy")).collect()
+    left = {r["b"]: r["n"] for r in rows if r["n"]}
+    heavy = [x for r in rows for x in r["heavy"]]
+    limit = max((r["limit"] for r in rows), default=1)
+    shards = {x["k"]: max(1, -(-x["n"] // limit)) for x in heavy}
+    items = [(("key", x["k"], i), -(-x["n"] // shards[x["k"]])) for x in heavy for i in range(shards[x["k"]])]
+    where, load = pack(items + [(("bucket", b), n) for b, n in left.items()], tasks)
+    return LoadPlan(tasks, buckets, {x["k"]: [where["key", x["k"], i] for i in range(shards[x["k"]])] for x in heavy}, [where.get(("bucket", b), b % tasks) for b in range(buckets)], load)
 
 
 def _shards(plan: LoadPlan, df: DataFrame, key: str) -> DataFrame:
@@ -68,7 +67,8 @@ def _shards(plan: LoadPlan, df: DataFrame, key: str) -> DataFrame:
 
 
 def _light_task(plan: LoadPlan, key: str) -> Column:
-    return F.get(F.array(*[F.lit(t) for t in plan.bucket_task]), F.pmod(F.xxhash64(F.col(key)), F.lit(plan.buckets)).cast("int"))
+    tasks = F.split(F.lit(",".join(map(str, plan.bucket_task))), ",").cast("array<int>")  # one literal, folded when the plan is made
+    return F.get(tasks, F.pmod(F.xxhash64(F.col(key)), F.lit(plan.buckets)).cast("int"))
 
 
 def spread(df: DataFrame, key: str, by: Column, plan: LoadPlan) -> DataFrame:
@@ -98,9 +98,9 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, by: Col
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"not a join that keeps the left rows whole: {how}")
     plan = plan or plan_loads(left, key)
-    spread_left = spread(left, key, by, plan)
     shards = _shards(plan, right, key)
     there = right.join(shards, F.col(key).eqNullSafe(F.col("__k")), "left")
     light = F.array(_light_task(plan, key))
     there = there.withColumn("__task", F.explode(F.array_distinct(F.coalesce("__tasks", light)))).drop("__k", "__tasks")
-    return spread_left.join(there, [key, "__task"], how).drop("__task")
+    # both sides are placed by task number, so the join takes them as they lie: no second exchange undoes the plan
+    return spread(left, key, by, plan).join(there.repartitionById(plan.tasks, "__task").hint("merge"), ["__task", key], how).drop("__task")

@@ -49,34 +49,37 @@ def nearest(a: np.ndarray, b: np.ndarray, order: np.ndarray, k: int, metric: str
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
 
 
-def _kernel(k: int, metric: str) -> Callable:
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _kernel(k: int, metric: str, keys: list[str]) -> Callable:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"a_pos": left["pos"].iloc[:0], "b_pos": right["pos"].iloc[:0], "distance": np.zeros(0)})
+            return pd.DataFrame({c: [] for c in (*keys, "a_pos", "b_pos", "distance")})
         place = right["pos"].to_numpy()
         order = np.unique(place, return_inverse=True)[1]
         r, c, d = nearest(_matrix(left["v"]), _matrix(right["v"]), order, k, metric)
-        return pd.DataFrame({"a_pos": left["pos"].to_numpy()[r], "b_pos": place[c], "distance": d})
+        return pd.DataFrame({"a_pos": left["pos"].to_numpy()[r], "b_pos": place[c], "distance": d} | {name: [value] * len(r) for name, value in zip(keys, key)})
 
     return run
 
 
 def knn_join(a: DataFrame, b: DataFrame, keys: list[str], pos: str, vector: str, k: int = 1, metric: str = "l2", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``a_pos, b_pos, distance, rank`` of the k nearest rows of ``b`` for each row of ``a`` with equal ``keys``.
+    """``<keys>, a_pos, b_pos, distance, rank`` of the k nearest rows of ``b`` for each row of ``a`` with equal ``keys``.
 
     ``metric`` is ``l2`` (squared Euclidean distance) or ``dot`` (negative inner product). Ties go to the smaller
     ``b_pos``. Rows with a null key or an empty or null vector take no part; a key on one side only gives no row.
-    ``pos``, a number or a text, must be unique on each side; vectors of one bucket must have one length.
+    ``pos``, a number or a text, must be unique within a key on each side; a row that lies in several buckets is ranked
+    in each of them. Vectors of one bucket must have one length; they travel in the type that they have.
     """
 
     def side(df: DataFrame) -> DataFrame:
         rows = df.where(is_vector(F.col(vector)))
         for key in keys:
             rows = rows.where(F.col(key).isNotNull())
-        return rows.select(*[F.col(key).alias(f"__{key}") for key in keys], F.col(pos).alias("pos"), F.col(vector).cast("array<double>").alias("v"))
+        kind = dict(df.dtypes)[vector]
+        v = F.col(vector) if kind in ("array<float>", "array<double>") else F.col(vector).cast("array<double>")
+        return rows.select(*[F.col(key).alias(f"__{key}") for key in keys], F.col(pos).alias("pos"), v.alias("v"))
 
     left, right = side(a), side(b)
-    keys = [f"__{key}" for key in keys]
+    named, keys = keys, [f"__{key}" for key in keys]
     blocks = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
     grid = blocks(left, "na").join(blocks(right, "nb"), keys) if keys else blocks(left, "na").crossJoin(blocks(right, "nb"))  # one row a key
     on = (lambda df: df.join(grid, keys)) if keys else (lambda df: df.crossJoin(F.broadcast(grid)))
@@ -85,10 +88,12 @@ def knn_join(a: DataFrame, b: DataFrame, keys: list[str], pos: str, vector: str,
     left = on(left).select(*keys, "pos", "v", one.alias("ba"), all_.alias("bb"))
     one, all_ = spread("nb", "na")
     right = on(right).select(*keys, "pos", "v", one.alias("bb"), all_.alias("ba"))
-    group = [*keys, "ba", "bb"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(_kernel(k, metric), f"a_pos {dict(left.dtypes)['pos']}, b_pos {dict(right.dtypes)['pos']}, distance double")
-    rank = F.row_number().over(Window.partitionBy("a_pos").orderBy("distance", "b_pos"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    group, kinds = [*keys, "ba", "bb"], dict(left.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), f"a_pos {kinds['pos']}", f"b_pos {dict(right.dtypes)['pos']}", "distance double"])
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(_kernel(k, metric, keys), schema)
+    rank = F.row_number().over(Window.partitionBy(*keys, "a_pos").orderBy("distance", "b_pos"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.select(*[F.col(c).alias(name) for c, name in zip(keys, named)], "a_pos", "b_pos", "distance", "rank")
 
 
 def unit_length(vector: Column) -> Column:
@@ -98,11 +103,6 @@ def unit_length(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-def squared_l2(a: Column, b: Column) -> Column:
-    """JVM-side squared distance of two arrays, for few pairs."""
-    return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
 def weighted_vector(vectors: list[Column], weights: list[float]) -> Column:
     """One vector whose inner products are the weighted sums of the cosines of several vectors."""
     scaled = lambda v, root: F.transform(unit_length(v), lambda x: x * root)

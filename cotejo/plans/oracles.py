@@ -8,15 +8,15 @@ _SIDES = """
   a AS (SELECT * FROM s WHERE pos % 2 = 0), b AS (SELECT * FROM s WHERE pos % 2 = 1)"""
 
 
-def _one_to_one(ctes: str, on: str, group: str = "") -> str:
+def _one_to_one(ctes: str, on: str, group: str = "", shown: str = "") -> str:
     """Nearest b of every a under ``on``, then the nearest a of every b."""
     part = f"{group}, " if group else ""
     own = f"a.{group} AS {group}, " if group else ""
     return f"""WITH {ctes},
   d AS (SELECT a.pos AS a_pos, b.pos AS b_pos, {own}{_DIST} AS distance FROM a JOIN b ON {on}),
-  n AS (SELECT *, row_number() OVER (PARTITION BY a_pos ORDER BY distance, b_pos) AS r FROM d),
+  n AS (SELECT *, row_number() OVER (PARTITION BY {part}a_pos ORDER BY distance, b_pos) AS r FROM d),
   o AS (SELECT *, row_number() OVER (PARTITION BY {part}b_pos ORDER BY distance, a_pos) AS w FROM n WHERE r = 1)
-SELECT a_pos, b_pos, round(distance, 5) AS distance FROM o WHERE w = 1"""
+SELECT {shown}a_pos, b_pos, round(distance, 5) AS distance FROM o WHERE w = 1"""
 
 
 _WS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -96,8 +96,11 @@ SELECT a_pos, b_pos, CAST(r AS INTEGER) AS rank, round(distance, 5) AS distance
   d AS (SELECT a.pos AS a_pos, b.pos AS b_pos, {_DIST} AS distance FROM a JOIN b ON (a.label < 3) = (b.label < 3)),
   n AS (SELECT *, row_number() OVER (PARTITION BY a_pos ORDER BY distance, b_pos) AS r FROM d)
 SELECT a_pos, b_pos, round(distance, 5) AS distance FROM n WHERE r = 1""",
-    "match_catalog_brand": _one_to_one(f"{_BUCKETS}", "a.bucket = b.bucket AND a.brand_key = b.brand_key AND a.brand_type = 'brand' AND b.brand_type = 'brand'", "bucket"),
-    "match_catalog_no_brand": _one_to_one(f"{_BUCKETS}", "a.bucket = b.bucket AND a.brand_type = 'no_brand' AND b.brand_type = 'no_brand'"),
+    "match_catalog_brand": _one_to_one(f"{_BUCKETS}", "a.bucket = b.bucket AND a.brand_key = b.brand_key AND a.brand_type = 'brand' AND b.brand_type = 'brand'", "bucket", "bucket, "),
+    "match_catalog_no_brand": _one_to_one(f"{_BUCKETS}", "a.bucket = b.bucket AND a.brand_type = 'no_brand' AND b.brand_type = 'no_brand'", "bucket", "bucket, "),
+    "match_overlapping_buckets": _one_to_one(f"""{_SIDES.replace(" a AS", " a0 AS").replace(" b AS", " b0 AS")},
+  a AS (SELECT DISTINCT pos, v, unnest([label % 4, (label + 1) % 4]) AS bucket FROM a0),
+  b AS (SELECT DISTINCT pos, v, unnest([label % 4, CASE WHEN pos % 3 = 0 THEN (label + 2) % 4 ELSE label % 4 END]) AS bucket FROM b0)""", "a.bucket = b.bucket", "bucket", "bucket, "),
     "category_map": f"""WITH {_SIDES},
   e AS (SELECT 'a' AS side, label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM a UNION ALL SELECT 'b', label, unnest(v), unnest(range(1, len(v) + 1)) FROM b),
   q AS (SELECT side, label, i, avg(x) AS x FROM e GROUP BY 1, 2, 3),
@@ -112,9 +115,11 @@ SELECT s AS source_category, CASE WHEN score >= 0.5 THEN t END AS matched_target
     "category_filter": f"""WITH {_MAP}, s AS (SELECT DISTINCT source_key FROM pairs WHERE {_USABLE}),
   k AS (SELECT pos, {_key('category')} AS ck FROM products)
 SELECT pos, source_key AS bucket FROM k JOIN s ON starts_with(ck, source_key)""",
-    "category_counter": f"""WITH k AS (SELECT {_key('category')} AS category_key FROM products WHERE category IS NOT NULL AND contains(supermarket, 'EROSKI')
-  UNION ALL SELECT {_key('category')} FROM products WHERE category IS NOT NULL AND contains(supermarket, 'Makro'))
-SELECT category_key, count(*) AS n_products FROM k GROUP BY 1""",
+    "category_counter": f"""WITH {_MAP}, p AS (SELECT DISTINCT source_key, target_key FROM pairs WHERE {_USABLE} AND source_supermarket = 'EROSKI'),
+  k AS (SELECT {_key('category')} AS category_key, supermarket FROM products),
+  h AS (SELECT category_key FROM k JOIN p ON starts_with(category_key, source_key) WHERE contains(supermarket, 'EROSKI')
+        UNION ALL SELECT category_key FROM k JOIN p ON starts_with(category_key, target_key) WHERE contains(supermarket, 'Makro'))
+SELECT category_key, count(*) AS n_products FROM h GROUP BY 1""",
     "white_label": f"WITH {_LABELS}, {_FINAL} SELECT pos, fb AS brand, {_TYPE.format('fb')} FROM f",
     "brand_min_count": f"""WITH {_LABELS}, {_FINAL}, n AS (SELECT *, count(*) OVER (PARTITION BY fb, supermarket) AS c FROM f),
   g AS (SELECT pos, CASE WHEN c < 2 THEN 'NO BRAND' ELSE fb END AS brand FROM n)

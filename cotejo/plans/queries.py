@@ -33,7 +33,7 @@ def _processed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The two groups' processed products in the source catalogue's buckets."""
     pairs = catalog.category_pairs(table(spark, d, "category_map").where("source_supermarket = 'EROSKI'"))
     rows = table(spark, d, "processed_products").where("size(product_embedding) = 64 and forall(product_embedding, x -> x is not null and x between -1e30 and 1e30)")
-    a = rows.where(F.contains("supermarket", F.lit("EROSKI"))).join(F.broadcast(pairs.select("source_key").distinct()), F.col("category_key") == F.col("source_key"), "left_semi")  # one row a mapping
+    a = rows.where(F.contains("supermarket", F.lit("EROSKI"))).join(pairs.select("source_key").distinct(), F.col("category_key") == F.col("source_key"), "left_semi")
     a = a.withColumn("bucket", F.col("category_key"))
     b = catalog.prefix_join(rows.where(F.contains("supermarket", F.lit("Makro"))), "category_key", pairs.select(F.col("source_key").alias("bucket"), F.col("target_key").alias("pattern")).distinct(), "pattern")
     keep = ["vec_id", "id", "bucket", "brand_type", F.upper("brand").alias("brand_key"), "product_embedding"]
@@ -59,26 +59,35 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     return knn_join(a, b, [], "pos", "v", 5).select("a_pos", "b_pos", "rank", F.round("distance", 5).alias("distance"))
 
 
+def match_overlapping_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Buckets that overlap: every vector of the left side lies in two of them, of the right side in one or two."""
+    a, b = _sides(spark, d)
+    inside = lambda df, buckets: df.withColumn("bucket", F.explode(F.array_distinct(buckets)))
+    left = inside(a, F.array(F.col("label") % 4, (F.col("label") + 1) % 4))
+    right = inside(b, F.array(F.col("label") % 4, F.when(F.col("pos") % 3 == 0, (F.col("label") + 2) % 4).otherwise(F.col("label") % 4)))
+    return _rounded(matching.match(left, right, ["bucket"], "pos", "v")).select("bucket", "a_pos", "b_pos", "distance")
+
+
 def match_own_brand_flag(spark: SparkSession, d: str) -> DataFrame:
     flag = lambda df: df.withColumn("own", F.col("label") < 3)
     a, b = map(flag, _sides(spark, d))
-    return _rounded(knn_join(a, b, ["own"], "pos", "v"))
+    return _rounded(knn_join(a, b, ["own"], "pos", "v")).drop("own")
 
 
 def match_global(spark: SparkSession, d: str) -> DataFrame:
     a, b = _sides(spark, d)
-    found = knn_join(a, b, ["label"], "pos", "v", 3).unionByName(knn_join(a, b, [], "pos", "v", 1))
+    found = knn_join(a, b, ["label"], "pos", "v", 3).drop("label").unionByName(knn_join(a, b, [], "pos", "v", 1))
     return _rounded(matching.match_global(found))
 
 
 def match_catalog_brand(spark: SparkSession, d: str) -> DataFrame:
     a, b = (x.where("brand_type = 'brand'") for x in _processed(spark, d))
-    return _rounded(matching.match(a, b, ["bucket", "brand_key"], "vec_id", "product_embedding")).select("a_pos", "b_pos", "distance")
+    return _rounded(matching.match(a, b, ["bucket", "brand_key"], "vec_id", "product_embedding")).select("bucket", "a_pos", "b_pos", "distance")
 
 
 def match_catalog_no_brand(spark: SparkSession, d: str) -> DataFrame:
     a, b = (x.where("brand_type = 'no_brand'") for x in _processed(spark, d))
-    return _rounded(matching.one_to_one(knn_join(a, b, ["bucket"], "vec_id", "product_embedding"))).select("a_pos", "b_pos", "distance")
+    return _rounded(matching.match(a, b, ["bucket"], "vec_id", "product_embedding")).select("bucket", "a_pos", "b_pos", "distance")
 
 
 def category_map(spark: SparkSession, d: str) -> DataFrame:
@@ -112,8 +121,10 @@ def category_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def category_counter(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "products").where(F.col("category").isNotNull())
-    return catalog.category_counter(rows.where(F.contains("supermarket", F.lit("EROSKI"))), rows.where(F.contains("supermarket", F.lit("Makro"))))
+    """Products by their own category key, once for every mapping that they fall under."""
+    rows = table(spark, d, "products")
+    pairs = catalog.category_pairs(table(spark, d, "category_map").where("source_supermarket = 'EROSKI'"))
+    return catalog.category_counter(rows.where(F.contains("supermarket", F.lit("EROSKI"))), rows.where(F.contains("supermarket", F.lit("Makro"))), pairs)
 
 
 def white_label(spark: SparkSession, d: str) -> DataFrame:
@@ -314,7 +325,7 @@ p3_promos = _level(3, {"code": (["$.code"], "string"), "label": (["$.label"], "s
 p3_tiers = _level(4, {"min_units": (["$.min_units"], "int"), "off": (["$.off"], "double")})
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    match_brand, match_no_brand, knn_topk, match_own_brand_flag, match_global, match_catalog_brand, match_catalog_no_brand, category_map,
+    match_brand, match_no_brand, knn_topk, match_overlapping_buckets, match_own_brand_flag, match_global, match_catalog_brand, match_catalog_no_brand, category_map,
     normalize_text, slug_categories, accent_removal, category_filter, category_counter, white_label, brand_min_count, product_text,
     legacy_product_text, dedup_last_wins, dedup_pairs, eval_matches, eval_general, eval_report, truth_pairs, eval_categories_macro,
     eval_categories, norepeat, norepeat_message, flatten_json, flatten_report, csv_columns, translate_lookup, golden_set_expand,

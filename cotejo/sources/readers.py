@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,15 +44,20 @@ def read_white_labels(spark: SparkSession, path: str) -> list[str]:
     return sorted(r["p"] for r in rows.collect())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, on whatever file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def merge_json(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Rows of several files, lists extended and single objects appended, by file order in ``paths``; unreadable files are
-    skipped."""
+    """Rows of several files, lists extended and single objects appended, by file order in ``paths``; missing files and
+    files that aren't JSON are skipped, any other failure is an error."""
     out = None
     for k, path in enumerate(paths):
-        try:
-            rows = read_json_array(spark, path, schema).withColumn("file_no", F.lit(k))
-        except Exception:  # noqa: BLE001 - a missing file is skipped as an unreadable one is
+        if not exists(spark, path):
             continue
+        rows = read_json_array(spark, path, schema).withColumn("file_no", F.lit(k))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return spark.createDataFrame([], f"{schema}, pos long, file_no int") if out is None else out
 
@@ -61,7 +65,7 @@ def merge_json(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
 def read_truth(spark: SparkSession, path: str, required: tuple[str, ...] = ("ER Referencia eroski", "Ref competidor"), sep: str = ",") -> DataFrame:
     """Known matches, every column a text. A missing file or a file without the required columns gives no rows."""
     empty = spark.createDataFrame([], schemas.TRUTH)
-    if "://" not in path and not os.path.exists(path):
+    if not exists(spark, path):
         return empty
     rows = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).option("escape", '"').csv(path)
     if not set(required) <= set(rows.columns):
@@ -79,11 +83,10 @@ def read_csv_report(spark: SparkSession, path: str) -> DataFrame:
 
 def read_translations(spark: SparkSession, path: str) -> DataFrame:
     """The JSON object original to translated as a table; a missing or broken file is an empty one."""
-    try:
-        entries = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,string>").alias("m"))
-        return entries.select(F.explode("m").alias("original", "translated"))
-    except Exception:  # noqa: BLE001
+    if not exists(spark, path):
         return spark.createDataFrame([], "original string, translated string")
+    entries = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,string>").alias("m"))
+    return entries.select(F.explode("m").alias("original", "translated"))
 
 
 def read_golden_set(spark: SparkSession, path: str) -> DataFrame:
@@ -101,7 +104,13 @@ def read_buckets(spark: SparkSession, path: str, category_key: str | None = None
     return rows
 
 
+def read_category_truth(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """The optional evaluation set of category maps, a JSON array of ``source_category, target_category``; none if the
+    file isn't there."""
+    return read_json_array(spark, path, schemas.CATEGORY_TRUTH).drop("pos") if path and exists(spark, path) else None
+
+
 def load_json(path: str) -> list:
-    """A small local JSON list, such as configuration."""
+    """A small local JSON list, such as a list of stop words."""
     with open(path, encoding="utf-8") as f:
         return json.load(f)

@@ -1,7 +1,10 @@
 import numpy as np
+from pyspark.sql import functions as F
 
-from cotejo.operators import matching
+from cotejo import session
+from cotejo.operators import matching, skew
 from cotejo.operators.vectors import knn_join, nearest
+from cotejo.sources import readers
 
 
 def _frame(spark, rows):
@@ -63,8 +66,81 @@ def test_global_is_greedy(spark):
     assert matching.match_global(df.limit(0)).count() == 0
 
 
-def test_buckets_in_order():
-    row = lambda i, *v: {"id": i, "v": v}
-    out = matching.match_in_order([("brand", [row("a", 0)], [row("p", 0), row("q", 5)]), ("no_brand", [row("c", 0), row("d", 6)], [row("p", 0), row("q", 5)]), ("no_brand", [row("e", 5)], [row("z", 5)])])
-    # the used id is gone from the second bucket; the first position, used there, blocks the third
-    assert [(x["a_id"], x["b_id"]) for x in out] == [("a", "p"), ("d", "q")]
+def test_a_row_in_two_buckets_is_ranked_in_each(spark):
+    a = _frame(spark, [(1, "x", [0, 0]), (1, "y", [0, 0])])
+    b = _frame(spark, [(10, "x", [1, 0]), (11, "y", [3, 0])])
+    found = {(r["k"], r["a_pos"], r["b_pos"]) for r in knn_join(a, b, ["k"], "pos", "v").collect()}
+    assert found == {("x", 1, 10), ("y", 1, 11)} == {(r["k"], r["a_pos"], r["b_pos"]) for r in matching.match(a, b, ["k"], "pos", "v").collect()}
+
+
+def _replay(buckets):
+    """Buckets (kind, a rows, b rows of pos, id, vector) one after the other, marks of ids and places in one set."""
+    used, out = set(), []
+    for name, kind, left, right in buckets:
+        right = right if kind == "brand" else [r for r in right if r[1] not in used]
+        if not left or not right:
+            continue
+        pairs = []
+        for p, _, v, key in left:
+            near = [(float(((np.array(v) - np.array(w)) ** 2).sum()), j) for j, (_, _, w, key2) in enumerate(right) if kind != "brand" or key == key2]
+            if near:
+                pairs.append((*min(near)[:1], p, min(near)[1]))
+        for distance, p, j in sorted(pairs):
+            mark = right[j][1] if kind == "brand" else j
+            if mark not in used:
+                used.add(mark)
+                out.append((name, kind, p, right[j][0]))
+    return out
+
+
+def test_compat_is_a_replay_in_order(spark):
+    rng = np.random.default_rng(5)
+    for _ in range(3):
+        rows = {"a": [], "b": []}
+        for side, n, start in (("a", 40, 0), ("b", 30, 100)):
+            for i in range(n):
+                kind, key = ("brand", "PQ"[rng.integers(2)]) if rng.integers(2) else ("no_brand", "")
+                for bucket in sorted(set(rng.integers(0, 3, 2))):
+                    rows[side].append((start + i, f"id{i % 25}", f"c{bucket}", kind, key, [float(x) for x in rng.integers(0, 5, 2)]))
+        buckets = []
+        for name in ("c0", "c1", "c2"):
+            for kind in ("brand", "no_brand"):
+                pick = lambda side: [(p, i, v, key) for p, i, c, k, key, v in sorted(rows[side]) if (c, k) == (name, kind)]  # noqa: E731, B023
+                buckets.append((name, kind, pick("a"), pick("b")))
+        frame = lambda side: spark.createDataFrame(rows[side], "pos long, id string, bucket string, brand_type string, brand_key string, v array<double>")  # noqa: E731, B023
+        got = {(r["bucket"], r["brand_type"], r["a_pos"], r["b_pos"]) for r in matching.match_compat(frame("a"), frame("b"), "bucket", "pos", "v").collect()}
+        assert got == set(_replay(buckets))
+
+
+def test_places_within_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = [(("hot" if rng.integers(3) else f"k{i % 4}"), i) for i in range(200)]
+    want = {(k, p): sorted(q for k2, q in rows if k2 == k).index(p) for k, p in rows}
+    got = {(r["k"], r["p"]): r["n"] for r in matching.numbered(spark.createDataFrame(rows, "k string, p long"), ["k"], "p", "n").collect()}
+    assert got == want
+
+
+def test_placement_survives_the_join(spark):
+    keys = ["hot" if i % 3 == 0 else "warm" if i % 5 == 0 else f"k{i % 997}" for i in range(20_000)]
+    df = spark.createDataFrame([(k if i % 50 else None, i) for i, k in enumerate(keys)], "k string, row long")
+    right = df.select("k").where("k is not null").distinct().withColumn("x", F.length("k"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for how in ("inner", "left_anti", "left"):
+            want = {"inner": df.where("k is not null").count(), "left": 20_000, "left_anti": df.where("k is null").count()}[how]
+            out = skew.fragment_replicate_join(df, right, "k", F.col("row"), how, skew.plan_loads(df, "k", 4))
+            sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == want
+            if how != "left_anti":
+                assert max(sizes) < 1.3 * want / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_cuts_are_deleted_when_replaced(spark):
+    one = session.cut(spark.range(5))
+    folder = one._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    two = session.cut(one.where("id > 2"), before=one)
+    assert not readers.exists(spark, folder) and two.count() == 2
+    session.release(two, spark.range(3))
