@@ -1,6 +1,6 @@
 import random
 
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -22,6 +22,29 @@ def test_quotas_by_highest_quotients(weights, seats):
     assert mixing.sainte_lague(weights, seats) == _plain(weights, seats, {})
 
 
+def _by_quotients(weights, seats, caps):
+    quotients = sorted((-w / (2 * i + 1), str(k), i, k) for k, w in weights.items() for i in range(min(seats, caps.get(k, seats))))
+    out = dict.fromkeys(weights, 0)
+    for *_, k in quotients[:seats]:
+        out[k] += 1
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=500), st.integers(0, 20_000), st.integers(0, 400), st.booleans())
+def test_one_dominant_among_hundreds(small, large, seats, capped):
+    weights = {f"p{i:03}": w for i, w in enumerate(small)} | {"large": large + 1}
+    caps = {"large": seats // 3, "p000": 1} if capped else {}
+    assert mixing.sainte_lague(weights, seats, caps) == _by_quotients(weights, seats, caps)
+
+
+def test_no_party_is_certain_of_its_share():
+    small = {f"s{i}": 0.0069 for i in range(8)}
+    assert mixing.sainte_lague({"big": 0.9448} | small, 80)["big"] == 72
+    equal = {i: 1 for i in range(4000)}
+    assert mixing.sainte_lague(equal | {"x": 3000}, 4200) == _by_quotients(equal | {"x": 3000}, 4200, {})
+
+
 def test_caps_hold_and_seats_go_on():
     out = mixing.sainte_lague({"a": 90, "b": 10, "c": 1}, 20, {"a": 5, "c": 2})
     assert out["a"] == 5 and out["c"] <= 2 and sum(out.values()) == 20
