@@ -63,7 +63,7 @@ def plan_loads(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
 def _shards(plan: LoadPlan, df: DataFrame, key: str) -> DataFrame:
     kind = dict(df.dtypes)[key]
     rows = [(k, t) for k, t in plan.heavy.items()]
-    return F.broadcast(df.sparkSession.createDataFrame(rows, f"__k {kind}, __tasks array<int>"))  # at most tasks * HEAVY_PARTS rows
+    return F.broadcast(df.sparkSession.createDataFrame(rows, f"__heavy_key {kind}, __heavy_tasks array<int>"))  # at most tasks * HEAVY_PARTS rows
 
 
 def _light_task(plan: LoadPlan, key: str) -> Column:
@@ -73,9 +73,9 @@ def _light_task(plan: LoadPlan, key: str) -> Column:
 
 def spread(df: DataFrame, key: str, by: Column, plan: LoadPlan) -> DataFrame:
     """Rows in their planned tasks, with ``__task``; ``by`` (any per-row value) picks the shard of a heavy key."""
-    shard = F.get("__tasks", F.pmod(F.xxhash64(by), F.size("__tasks")).cast("int"))
-    out = df.join(_shards(plan, df, key), F.col(key).eqNullSafe(F.col("__k")), "left")
-    out = out.withColumn("__task", F.coalesce(shard, _light_task(plan, key))).drop("__k", "__tasks")
+    shard = F.get("__heavy_tasks", F.pmod(F.xxhash64(by), F.size("__heavy_tasks")).cast("int"))
+    out = df.join(_shards(plan, df, key), F.col(key).eqNullSafe(F.col("__heavy_key")), "left")
+    out = out.withColumn("__task", F.coalesce(shard, _light_task(plan, key))).drop("__heavy_key", "__heavy_tasks")
     return out.repartitionById(plan.tasks, "__task")
 
 
@@ -99,8 +99,8 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, by: Col
         raise ValueError(f"not a join that keeps the left rows whole: {how}")
     plan = plan or plan_loads(left, key)
     shards = _shards(plan, right, key)
-    there = right.join(shards, F.col(key).eqNullSafe(F.col("__k")), "left")
+    there = right.join(shards, F.col(key).eqNullSafe(F.col("__heavy_key")), "left")
     light = F.array(_light_task(plan, key))
-    there = there.withColumn("__task", F.explode(F.array_distinct(F.coalesce("__tasks", light)))).drop("__k", "__tasks")
+    there = there.withColumn("__task", F.explode(F.array_distinct(F.coalesce("__heavy_tasks", light)))).drop("__heavy_key", "__heavy_tasks")
     # both sides are placed by task number, so the join takes them as they lie: no second exchange undoes the plan
     return spread(left, key, by, plan).join(there.repartitionById(plan.tasks, "__task").hint("merge"), ["__task", key], how).drop("__task")
