@@ -57,4 +57,5 @@ def fold_sql(text: Column) -> Column:
     for two, one in _combining().items():
         if one in "áéíóúñüçàèòïÁÉÍÓÚÑÜÇÀÈÒÏ":
             marked = F.replace(marked, F.lit(two), F.lit(one))
-    return F.when(out.rlike(r"\p{Mn}"), marked).otherwise(out)
+    folded = F.when(out.rlike(r"\p{Mn}"), marked).otherwise(out)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)  # ASCII has nothing to fold

@@ -44,11 +44,20 @@ _SPEC = rf"{_AMOUNT}\s*({_words(('kg', 'l', 'ud'))})\.?"
 _PIECE = r"(?:unidades|unidad|unds?|uds?|uni|u)\.?"
 _CONTENT = rf"(?:(\d+)\s*(?:x\s*|(?:{_PIECE}\s*)?(?:-\s*|de\s+)|{_PIECE}\s+))?(\d+\s*/\s*\d+|\d*\s*[½¼¾]|medi[oa]|cuarto\s+de|{_NUMBER})\s*({_words(('kg', 'l'))})\b"
 _COUNT = rf"(?:(?<![\w.,])({_NUMBER})\s*({_words(('ud',))})(?![\w])|(?:(?:pack|lote|caja|estuche)(?:\s+de)?\s+|(?<!\w)x\s*)(\d+)(?!\s*[.,]?\d))"
+#: What every content and count holds.
+_NUMERIC = r"[\d½¼¾]|medi[oa]|cuarto"
 _EXACT = T.DecimalType(30, 8)
 #: Base units in one item of goods when its text names none: kilograms or litres, pieces.
 USUAL_CONTENT = {"kg": (0.02, 40.0), "l": (0.02, 40.0), "ud": (0.99, 150.0)}
 
 
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The groups of a pattern that takes the whole text, in one search: empty where the text or the group doesn't
+    match, null for a null text."""
+    parts = F.split(F.regexp_replace(text, pattern, "\x01".join(f"${k}" for k in range(1, n + 1))), "\x01")
+    return F.when(F.size(parts) == n, parts).when(text.isNotNull(), F.array(*[F.lit("")] * n))
+
+
 def units_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(UNITS, "alias string, base_unit string, factor long, offset long")
 
@@ -57,15 +66,19 @@ def parse_number(text: Column) -> Column:
     """Decimal of ``1.234,5``, ``1,234.5``, ``12,5``, ``12.5`` and ``1€50``: the last sign is the decimal sign and
     any sign before it groups thousands. Null if nothing fits."""
     last_only = F.regexp_replace(text, r"[.,](?=[\d.,€]*[.,€])", "")
-    return F.translate(last_only, ",€", "..").try_cast(_EXACT)
+    signs = F.length(F.translate(text, "0123456789", ""))
+    return F.when(signs > 1, F.translate(last_only, ",€", "..")).otherwise(F.translate(text, ",€", "..")).try_cast(_EXACT)
 
 
 def parse_amount(text: Column) -> Column:
     """Decimal of an amount before a unit: a number, a fraction (``1/2``, ``½``, ``1½``) or a word; missing means one."""
+    plain = text
     for word, digits in ((r"\s+", ""), (r"(\d)½", "$1,5"), (r"(\d)¼", "$1,25"), (r"(\d)¾", "$1,75"), ("½|medi[oa]", "1/2"), ("¾|trescuartos(?:de)?", "3/4"), ("¼|(?:un)?cuarto(?:de)?", "1/4")):
         text = F.regexp_replace(text, word, digits)
     over, under = (F.regexp_extract(text, r"^([\d.,]*)(?:/(\d+))?$", k) for k in (1, 2))
-    return F.try_divide(F.coalesce(parse_number(over), F.lit(1)), F.coalesce(under.try_cast(_EXACT), F.lit(1))).cast(_EXACT)
+    spelt = F.try_divide(F.coalesce(parse_number(over), F.lit(1)), F.coalesce(under.try_cast(_EXACT), F.lit(1))).cast(_EXACT)
+    # most amounts are missing or whole numbers, which need no search
+    return F.when(plain == "", F.lit(1).cast(_EXACT)).when(F.translate(plain, "0123456789", "") == "", plain.try_cast(_EXACT)).otherwise(spelt)
 
 
 def with_unit_prices(
@@ -91,16 +104,17 @@ def with_unit_prices(
     turned = F.regexp_replace(u, rf"^\(?\s*(.*?)\s*[=:]\s*{_MONEY}\s*\)?$", "$2$3/$1")
     out = df.select(*kept, turned.alias("__u"), text.alias("__t"), default.alias("__default"))
     # long texts are searched once for each pattern; the short pieces found are taken apart after that
-    out = out.withColumns({f"__{k}": F.regexp_extract("__u", front, g) for k, g in (("n", 1), ("c", 2), ("s", 3))} | {"__h": F.regexp_extract("__t", said, 0)})
+    out = out.withColumn("__front", _groups(F.col("__u"), front, 3))
+    out = out.withColumns({f"__{k}": F.get("__front", F.lit(g)) for k, g in (("n", 0), ("c", 1), ("s", 2))} | {"__h": F.when(F.col("__t").rlike("precio|p\\.?\\s?v|€"), F.regexp_extract("__t", said, 0)).otherwise("")})
     goods = F.when(F.col("__h") != "", F.replace("__t", F.col("__h"), F.lit(" "))).otherwise(F.col("__t"))  # no announced unit
     out = out.withColumn("__goods", F.regexp_replace(goods, PROMO, " "))  # no promotion
-    out = out.withColumns({"__content": F.regexp_extract("__goods", _CONTENT, 0), "__pieces": F.regexp_extract("__goods", _COUNT, 0)})
-    out = out.withColumns({"__fq": F.regexp_extract("__s", rf"^{_SPEC}\s*$", 1), "__fu": F.regexp_extract("__s", rf"^{_SPEC}\s*$", 2), "__hq": F.regexp_extract("__h", said, 1), "__hu": F.regexp_extract("__h", said, 2)})
-    groups = {f"__g{k}": F.regexp_extract("__content", _CONTENT, k) for k in (1, 2, 3)} | {f"__k{k}": F.regexp_extract("__pieces", _COUNT, k) for k in (1, 2, 3)}
+    found = {"__content": F.regexp_extract("__goods", _CONTENT, 0), "__pieces": F.regexp_extract("__goods", _COUNT, 0)}
+    out = out.withColumns({c: F.when(F.col("__goods").rlike(_NUMERIC), x).otherwise("") for c, x in found.items()})
+    out = out.withColumns({"__f": _groups(F.col("__s"), rf"^{_SPEC}\s*$", 2), "__hg": _groups(F.col("__h"), rf"^{said}$", 2), "__g": _groups(F.col("__content"), rf"^{_CONTENT}$", 3), "__k": _groups(F.col("__pieces"), rf"^(?:{_COUNT})$", 3)})
+    out = out.withColumns({f"__{c}{n}": F.get(f"__{a}", F.lit(i)) for a, parts in {"f": ("fq", "fu"), "hg": ("hq", "hu"), "g": ("g1", "g2", "g3"), "k": ("k1", "k2", "k3")}.items() for i, (c, n) in enumerate((x[0], x[1:]) for x in parts)})
     bare = F.col("__s") == ""
     out = out.withColumns(
-        groups
-        | {
+        {
             "unit_from": F.when(F.col("__fu") != "", F.lit("field")).when(bare & (F.col("__hu") != ""), F.lit("text")).when(bare & (F.col("__default") != ""), F.lit("default")),
             "__money": (parse_number(F.col("__n")) * F.when(F.col("__c").startswith("c"), F.lit(1)).otherwise(F.lit(100))).cast(_EXACT),
         }
