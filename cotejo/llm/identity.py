@@ -136,8 +136,9 @@ class Reader:
     def __init__(self, vocabulary: Vocabulary, sellers: tuple[str, ...]) -> None:
         self.vocabulary = vocabulary
         self.sellers = {brand_key(s) for s in sellers}
-        self.varieties = [(name, re.compile(rf"(?<![\w/])(?:{p})(?!\w)")) for name, p in vocabulary.varieties]
-        self.any_variety = re.compile("|".join(f"(?:{p})" for _, p in vocabulary.varieties) or "(?!)")
+        self.names = [name for name, _ in vocabulary.varieties]
+        # one pass over the text: at each place the first variety of the vocabulary's order
+        self.varieties = re.compile(r"(?<![\w/])(?:" + ("|".join(f"(?P<v{i}>(?:{p})(?!\\w))" for i, (_, p) in enumerate(vocabulary.varieties)) or "(?!)") + ")")
         self.kind_of = lru_cache(1 << 16)(self._kind_of)
         self.maker_of = lru_cache(1 << 14)(self._maker_of)
 
@@ -171,12 +172,9 @@ class Reader:
         text = _HINT.sub(" ", _AD.sub(" ", text))
         content, text = read_content(text)
         parts = part_numbers(text)
-        names = []
-        if self.any_variety.search(text):
-            for name, pattern in self.varieties:
-                text, n = pattern.subn(" ", text)
-                if n:
-                    names.append(name)
+        found: dict[str, None] = {}
+        text = self.varieties.sub(lambda m: found.setdefault(self.names[int(m.lastgroup[1:])]) or " ", text)
+        names = list(found)
         words = _WORD.findall(_INNER_SIGN.sub("", text))
         means = [self.kind_of(w) for w in words]
         kind = min(((m[0], i, m[1]) for i, m in enumerate(means) if m), default=(0, 0, ""))[2]
@@ -390,6 +388,8 @@ def _with_makers(rows: DataFrame) -> DataFrame:
     named = named.join(own, ["range_name", "maker"], "left").withColumn("as_kind", F.when((F.col("kind") == "") & (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(F.col("kind")))
     block = _key("as_kind", "range_name").alias("block")
     counts = named.where("maker <> ''").groupBy(block, F.col("maker").alias("word")).agg(F.sum("n").alias("n"))
+    several = counts.groupBy("block").agg(F.count("*").alias("of")).where("of > 1").select("block")  # one maker has no other spelling
+    counts = counts.join(several, "block", "left_semi")
     spelt = merge_spellings(counts, 1, nearest=False)
     named = named.withColumn("block", block).join(spelt.withColumnRenamed("word", "maker"), ["block", "maker"], "left").withColumn("as_maker", F.coalesce("target", "maker"))
     tells = named.groupBy("block").agg(F.min(F.nullif("as_maker", F.lit(""))).alias("lo_maker"), F.max(F.nullif("as_maker", F.lit(""))).alias("told"))
