@@ -1,7 +1,7 @@
 """The k most similar vectors of every vector (problem 7): a forest of random-projection trees, one queue for all trees.
 
-Trees are complete binary trees whose hyperplanes go through the median of a bounded sample, so leaves stay even wherever
-vectors crowd. Every vector is stored in its leaf of each tree and asks the ``probes`` leaves that one priority queue,
+Trees are complete binary trees whose hyperplanes go through the median of a sample that grows with the leaves up to a
+bound, so leaves stay even wherever vectors crowd. Every vector is stored in its leaf of each tree and asks the ``probes`` leaves that one priority queue,
 shared by all trees and ordered by the largest margin crossed, gives first. Leaves are groups of an Arrow kernel that
 reranks all their vectors by exact cosine. How many leaves are asked is measured on every table: the least that finds
 TARGET of the true neighbours of held-out queries, in the crowded, middle and sparse third of them each. Where that costs
@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 from cotejo.operators.skew import fragment_replicate_join
 from cotejo.session import cut
 
-#: Rows of the sample that hyperplanes are fitted on; the index itself holds every row.
-SAMPLE_ROWS = 20_000
+#: Rows of the sample that hyperplanes are fitted on, so many for each leaf of a tree, from the least to the most; the
+#: index itself holds every row. The most bounds what reaches the driver and every worker (50 MB of vectors).
+LEAF_SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 16, 20_000, 200_000
+#: Where the most binds, trees grow on as long as a node has so many rows of the sample; its halves are then less even.
+NODE_SAMPLE = 4
 TREES, PROBES, LEAF_ROWS = 6, 8, 1024
 #: Rows of one side of a kernel's block; larger leaves are cut into blocks.
 BLOCK_ROWS = 4096
@@ -32,7 +35,9 @@ BLOCK_ROWS = 4096
 TARGET, QUERIES, MOST_PROBES = 0.99, 1024, 128
 #: Rows of one side of a block when all pairs are compared; copying a row to a group costs as much as comparing so many.
 EXACT_ROWS, COPY_ROWS = 32_768, 2000
-_ROUND = 5
+#: Decimals to which directions must agree to count as copies: their cosine is 1 to within 1e-10, less than the rounding
+#: of the 32-bit numbers that they are made of.
+_ROUND = 6
 
 
 @dataclass(frozen=True)
@@ -198,12 +203,15 @@ def neighbours(reps: DataFrame, dim: int, k: int, floor: float, trees: int = TRE
     """``rep, near, cosine``: up to k nearest of each representative with cosine of at least ``floor``, from ``rep long,
     unit binary``. ``probes`` is the least number of leaves asked; as many as TARGET needs are."""
     total = reps.count()
-    # reaches the driver: at most SAMPLE_ROWS vectors, chosen by hash
-    sample = reps.select("unit", F.xxhash64(F.lit(seed), "rep").alias("o")).orderBy("o").limit(SAMPLE_ROWS).select("unit").toArrow()
-    fitted = np.frombuffer(b"".join(sample["unit"].to_pylist()), np.float32).reshape(-1, dim)
     depth = 0
-    while (total >> depth) > leaf_rows and (len(fitted) >> depth) > 16:
+    while (total >> depth) > leaf_rows:
         depth += 1
+    # reaches the driver: at most MOST_SAMPLE vectors, chosen by hash
+    size = min(MOST_SAMPLE, max(LEAST_SAMPLE, LEAF_SAMPLE << depth))
+    sample = reps.select("unit", F.xxhash64(F.lit(seed), "rep").alias("o")).orderBy("o").limit(size).select("unit").toArrow()
+    fitted = np.frombuffer(b"".join(sample["unit"].to_pylist()), np.float32).reshape(-1, dim)
+    while depth and (len(fitted) >> depth) < NODE_SAMPLE:
+        depth -= 1
     forest = fit(fitted, depth, trees, seed)
     blocks, parts, exact = max(1, -(-(total >> depth) // BLOCK_ROWS)), max(1, -(-total // EXACT_ROWS)), depth == 0
     if depth:
@@ -255,8 +263,8 @@ def neighbours(reps: DataFrame, dim: int, k: int, floor: float, trees: int = TRE
 
 def most_similar(df: DataFrame, row: str, vector: str, dim: int, k: int = 5, floor: float = -1.0, trees: int = TREES, probes: int = PROBES) -> DataFrame:
     """``<row>, near, cosine``: for every row with a usable vector up to k most similar other rows, cosine ``floor`` or
-    more. Equal cosines go to the smaller row number. Vectors whose directions agree to 5 decimals count as copies, of
-    cosine 1. Null, empty, short, not-a-number and all-zero vectors take no part; ``row`` must be unique."""
+    more. Equal cosines go to the smaller row number. Vectors whose directions agree to 6 decimals count as copies, of
+    cosine 1 (it is, to within 1e-10). Null, empty, short, not-a-number and all-zero vectors take no part; ``row`` must be unique."""
     rows = df.select(F.col(row).cast("long").alias("row"), F.col(vector).cast("array<float>").alias("vector"))
     rows = cut(rows.mapInArrow(_prepared(dim), "row long, unit binary, h1 long, h2 long"))
     # one pass over the vectors; copies are known by a hash of 128 bits

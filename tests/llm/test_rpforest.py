@@ -97,3 +97,27 @@ def test_probes_follow_the_target(spark, monkeypatch, rows):
     found = rpforest.neighbours(reps, 8, 5, -1.0, leaf_rows=64).select("rep", "near").collect()
     assert asked[0] > rpforest.PROBES and asked[0] * 64 < rows * 2
     assert _recall(found, u, np.arange(0, rows, rows // 400), 5) >= 0.98
+
+
+def test_recall_where_the_sample_binds(spark, monkeypatch):
+    monkeypatch.setattr(rpforest, "LEAST_SAMPLE", 512)
+    monkeypatch.setattr(rpforest, "MOST_SAMPLE", 1024)
+    monkeypatch.setattr(rpforest, "COPY_ROWS", 0)
+    fitted, fit = [], rpforest.fit
+    monkeypatch.setattr(rpforest, "fit", lambda sample, depth, *x: fitted.append((len(sample), depth)) or fit(sample, depth, *x))
+    v = np.float32(_vectors(8, 9000)).astype(float)
+    u = np.float32(v / np.linalg.norm(v, axis=1, keepdims=True))
+    reps = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(u)], "rep long, unit binary")
+    found = rpforest.neighbours(reps, 16, 5, 0.9, leaf_rows=40).select("rep", "near").collect()
+    assert fitted[0] == (1024, 8)  # 9,000 rows in 256 leaves, 4 rows of the sample for each
+    s = (u @ u.T).astype(float)
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(0, 9000, 20) for j in np.argsort(-s[i], kind="stable")[:5] if s[i, j] >= 0.9}
+    assert len(want & {tuple(r) for r in found}) >= 0.95 * len(want)
+
+
+def test_near_copies_keep_their_cosine(spark):
+    v = np.eye(8)[:2].repeat(2, 0) + np.array([0, 1e-3, 0, 0])[:, None] * np.eye(8)[2]
+    rows = rpforest.most_similar(_frame(spark, range(4), v), "id", "v", 8, 1).collect()
+    assert {r["id"]: r["near"] for r in rows} == {0: 1, 1: 0, 2: 3, 3: 2}
+    assert {r["id"]: r["cosine"] for r in rows}[0] < 1 == {r["id"]: r["cosine"] for r in rows}[3]
