@@ -57,5 +57,20 @@ def test_shards_give_the_same(spark):
     word = lambda: "".join(random.choice("abcde") for _ in range(7))
     ref = spark.createDataFrame([(i, word()) for i in range(60)], "brand_id long, brand_name string")
     df = spark.createDataFrame([(word(),) for _ in range(150)], "brand string")
-    one, many = (sorted(map(tuple, bktree.map_values(df, "brand", ref, "brand_id", "brand_name", shard_entries=n).collect())) for n in (1000, 7))
+    one, many = (sorted(map(tuple, bktree.map_values(df, "brand", ref, "brand_id", "brand_name", shard_entries=n, block_keys=40).collect())) for n in (1000, 7))
     assert one == many and any(r[2] is not None for r in one)
+
+
+@given(st.lists(WORDS, max_size=25), st.text("abcd", max_size=10))
+def test_best_is_the_closest_of_all(words, key):
+    edits = min(2, len(key) // 3)
+    near = min(((d, i) for i, w in enumerate(words) if (d := bktree.damerau(key, w)) <= edits), default=None)
+    assert bktree.BKTree([(w, i) for i, w in enumerate(words)]).best(key) == near
+
+
+def test_wording_is_a_parameter(spark):
+    german = bktree.Wording(short=(("gebr.", "gebrüder"),), fillers=("ohne marke",), after="gmbh|ag")
+    assert [bktree.brand_key(v, german) for v in ("Gebr. Meier GmbH", "ohne Marke", "Müller AG")] == ["gebrüdermeier", "", "muller"]
+    df = spark.createDataFrame([(1, "Meyer GmbH"), (2, "ohne Marke")], "pos long, brand string")
+    ref = spark.createDataFrame([(7, "Meier AG")], "brand_id long, brand_name string")
+    assert {tuple(r) for r in bktree.map_rows(df, "pos", "brand", ref, "brand_id", "brand_name", german).collect()} == {(1, 7), (2, 0)}
