@@ -8,9 +8,9 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Cyrillic, Greek and other letters drawn as the Latin letter under them.
-LOOKALIKE_FROM = "АВЕЅІЈКМНОРСТУХԜԚаеѕіјорсухһԁԛԝӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧοιıɡɑ"
-LOOKALIKE_INTO = "ABESIJKMHOPCTYXWQaesijopcyxhdqwlABEZHIKMNOPTYXoiiga"
+#: Cyrillic, Greek, Armenian, Cherokee and other letters drawn as the Latin letter under them.
+LOOKALIKE_FROM = "АВЕЅІЈКМНОРСТУХԜԚѴаеѕіјорсухһԁԛԝӏѵΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿοιανρυγϲϳՕօսհցզᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᏔᏃıɡɑ"
+LOOKALIKE_INTO = "ABESIJKMHOPCTYXWQVaesijopcyxhdqwlvABEZHIKMNOPTYXCJoiavpuycjOouhgqABCDEGHJKLMPRSTVWZiga"
 
 #: Characters that draw nothing in Latin text.
 INVISIBLE_RANGES = ((0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x180B, 0x180E), (0x200B, 0x200F),
@@ -38,6 +38,34 @@ def expansions() -> dict[str, str]:
     return {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFB00, 0xFB07)}
 
 
+@lru_cache(1)
+def styled() -> dict[str, str]:
+    """Letters and digits of another style (mathematical bold, script, double-struck and so on) and Roman numerals, by
+    Unicode's own compatibility, with look-alikes of what they stand for."""
+    single, out = one_to_one(), {}
+    for code in (*range(0x1D400, 0x1D800), *range(0x2100, 0x2150), *range(0x2160, 0x2180)):
+        char, kind = chr(code), unicodedata.decomposition(chr(code))
+        if kind.startswith("<font>") or (code >= 0x2160 and kind.startswith("<compat>")):
+            out[char] = "".join(single.get(c, c) for c in unicodedata.normalize("NFKC", char))
+    return out
+
+
+@lru_cache(1 << 16)
+def script(letter: str) -> str:
+    """The script that a letter's Unicode name begins with."""
+    return unicodedata.name(letter, "").split(" ")[0]
+
+
+@lru_cache(1)
+def into_script() -> dict[str, dict[str, str]]:
+    """For each script the Latin letters that it has look-alikes of."""
+    out: dict[str, dict[str, str]] = {}
+    for own, latin in zip(LOOKALIKE_FROM, LOOKALIKE_INTO, strict=True):
+        if script(own) != "LATIN":
+            out.setdefault(script(own), {}).setdefault(latin, own)
+    return out
+
+
 @lru_cache(1)
 def _combining() -> dict[str, str]:
     """Letter and one of the marks of western European writing, in two code points, to its composed form."""
