@@ -24,7 +24,7 @@ def test_same_look(a, b):
     assert canon.transducer()(a) == b
 
 
-@pytest.mark.parametrize("text", ["La Posdusirbel", "½ kg ª ™", "a  b", "ñandú", "Ünïcode!", "中文 Привет мир"[:2]])
+@pytest.mark.parametrize("text", ["La Posdusirbel", "½ kg ª ™", "a  b", "ñandú", "Ünïcode!", "中文", "Привет мир", "και όχι", "中文 Привет мир ñandú", "\uac01 한국어", "сегодня ещё"])
 def test_plain_text_stays(text):
     assert canon.transducer()(text) == text
 
@@ -55,3 +55,18 @@ def test_every_product_row_in_its_one_form(spark, tmp_path):
     spark.createDataFrame(rows, "pos long, id string, description string, denomination string, brand string").write.parquet(str(tmp_path / "products.parquet"))
     got = sorted(tuple(r) for r in QUERIES["p5_products"](spark, str(tmp_path)).select("pos", "id", "description", "denomination", "brand").collect())
     assert got == [(1, "a", "Leche", None, "X"), (2, None, "Leche", "tomate", ""), (3, "b", None, "filetes", "Garćía")]
+
+
+@pytest.mark.parametrize(("a", "b"), [
+    ("Пpивeт", "Привет"), ("\u0475i\u043d\u043e", "\u0475\u0456\u043d\u043e"), ("\u0475in\u043e t\u0456nto", "vino tinto"), ("\u0421\u041e\u0421\u0410", "COCA"), ("\U0001d400ceite \u216b \u2115", "Aceite XII N"),
+    ("\u13aagua \u03b1zul", "Agua azul"), ("\u041fz p\u043e", "\u041fz po"), ("e\u0302\u0301\u0323x", unicodedata.normalize("NFC", "e\u0302\u0301\u0323x")), ("e\u0323\u200b\u0302x", "\u1ec7x"),
+    ("\u1100\u1161\u11a8", "\uac01"), ("\u0432\u0438\u0306", "\u0432\u0439"), ("\ufb01\u0301n", unicodedata.normalize("NFC", "fi\u0301n")),
+])
+def test_scripts_clusters_and_styles(a, b):
+    assert canon.transducer()(a) == b == canon.transducer()(b)
+
+
+def test_equal_rows_meet_no_row(spark):
+    rows = [(i, "hot", "Leche") for i in range(300)] + [(300 + i, "hot", "L\u0435che") for i in range(4)] + [(400, "hot", "Otra")]
+    df = spark.createDataFrame(rows, "pos long, id string, brand string")
+    assert {tuple(r) for r in canon.lookalike_pairs(df, "pos", "id", ["brand"]).collect()} == {(i, 300 + j, "brand") for i in range(300) for j in range(4)}
