@@ -18,6 +18,8 @@ from cotejo.session import cut
 KINDS = ("prose", "list", "table", "junk")
 #: Words of page menus.
 MENU_WORDS = "inicio menú menu ayuda volver aceptar entrar ofertas tiendas carrito cuenta mi ver más buscar cerrar salir cookies siguiente anterior registro home login search back accept help next cart".split()
+#: Letters of which no three make a word.
+_UNSAYABLE = "[bcdfghjklmnñpqrstvwxz]"
 _END = r"[.!?…](?:[\"'»”)\]]*)"
 
 
@@ -25,6 +27,18 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(part / F.when(whole > 0, whole), F.lit(0.0))
 
 
+def _holds(text: Column, *signs: str) -> Column:
+    """Whether any of the signs stands in the text: a plain search, much cheaper than a pattern."""
+    out = F.lit(False)
+    for sign in signs:
+        out = out | F.contains(text, F.lit(sign))
+    return out
+
+
+def _if(condition: Column, count: Column) -> Column:
+    return F.when(condition, count).otherwise(F.lit(0))
+
+
 def _lines(lines: Column, pattern: str) -> Column:
     """Number of lines that match."""
     return F.size(F.filter(lines, lambda x: x.rlike(pattern)))
@@ -35,31 +49,37 @@ def statistics(df: DataFrame, row: str, text: str, common: list[str]) -> DataFra
 
     ``common`` are the frequent words of all languages, a fixed list, matched as whole words.
     """
-    clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\r\n?", "\n")
+    given = F.coalesce(F.col(text), F.lit(""))
+    clean = F.when(F.contains(given, F.lit("\r")), F.regexp_replace(given, r"\r\n?", "\n")).otherwise(given)
     rows = df.select(F.col(row), clean.alias("t"), F.coalesce(F.col(text).rlike(r"[^\s\p{Z}\p{C}]"), F.lit(False)).alias("readable"))
     rows = rows.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"\S")))
     rows = rows.withColumn("words", F.expr(r"regexp_extract_all(lower(t), '[\\p{L}\\p{M}]+', 0)"))
+    # texts without any sign of a pattern aren't searched for it
     fields = F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\s*\||;|\t+|(?<=\S) {2,}(?=\S)")))
+    fields = F.when(_holds(F.col("t"), "|", ";", "\t", "  "), fields).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumns({"fields": F.filter(fields, lambda n: n > 1), "n_distinct": F.size(F.array_distinct("words"))})
     frequent = sorted({w.lower() for w in common if w})
     t = F.col("t")
     # what several shares use is made once
     rows = rows.withColumns(
         {
-            "tokens": F.regexp_count(t, F.lit(r"\S+")),
-            "sentences": F.regexp_count(t, F.lit(rf"\p{{L}}[\p{{L}}\p{{N}}%€)»\"']*\s*{_END}(?=\s|$)")),
+            "parts": F.split(t, r"\s+"),
+            # begun at the first letter of a word only, and never taken back
+            "sentences": F.regexp_count(t, F.lit(r"(?<!\p{L})\p{L}[\p{L}\p{N}%€)»\"']*+\s*+[.!?…][\"'»”)\]]*+(?=\s|$)")),
+            "odd": t.rlike(r"[\x{80}-\x{9f}¢-©¬-¶¸¹»-¿ÂÃ€�]"),
         }
     )
-    n_lines, n_words, n_chars, tokens, sentence = F.size("lines"), F.size("words"), F.length("t"), F.col("tokens"), F.col("sentences")
+    n_lines, n_words, n_chars, sentence = F.size("lines"), F.size("words"), F.length("t"), F.col("sentences")
+    tokens = F.size(F.array_remove("parts", ""))
     with_fields = F.size("fields")
-    separators = F.regexp_count(t, F.lit(r"(?:(?<=\S), |; | / | · | \| )"))
+    separators = F.regexp_count(t, F.lit(r"(?<=\S), |; | [/·|] "))
     return rows.select(
         row, "readable",
         n_chars.alias("n_chars"), n_lines.alias("n_lines"), n_words.alias("n_words"), tokens.alias("n_tokens"),
         F.coalesce(F.aggregate("words", F.lit(0), lambda s, w: s + F.length(w)) / F.when(n_words > 0, n_words), F.lit(0.0)).alias("mean_word"),
-        _share(F.regexp_count(t, F.lit(r"\p{L}")), n_chars).alias("letter_share"),
-        _share(F.regexp_count(t, F.lit(r"\p{Nd}")), n_chars).alias("digit_share"),
-        _share(F.regexp_count(t, F.lit(r"[^\p{L}\p{M}\p{N}\s]")), n_chars).alias("symbol_share"),
+        _share(n_chars - F.length(F.regexp_replace(t, r"\p{L}+", "")), n_chars).alias("letter_share"),
+        _share(n_chars - F.length(F.regexp_replace(t, r"\p{Nd}+", "")), n_chars).alias("digit_share"),
+        _share(n_chars - F.length(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}\s]+", "")), n_chars).alias("symbol_share"),
         _share(F.size(F.filter("words", lambda w: w.isin(frequent))), n_words).alias("common_share"),
         _share(_lines(F.col("lines"), rf"{_END}\s*$"), n_lines).alias("ended_share"),
         sentence.alias("n_sentences"), _share(sentence, n_words).alias("sentence_rate"),
@@ -73,12 +93,12 @@ def statistics(df: DataFrame, row: str, text: str, common: list[str]) -> DataFra
         _share(F.size(F.array_distinct("lines")), n_lines).alias("distinct_lines"),
         _share(F.size(F.filter("words", lambda w: w.isin(MENU_WORDS))), n_words).alias("menu_share"),
         _share(_lines(F.col("lines"), r"^\s*\p{Ll}"), n_lines).alias("lower_start_share"),
-        F.coalesce(F.array_max(F.transform(F.split(t, r"\s+"), F.length)), F.lit(0)).alias("longest_token"),
-        _share(F.regexp_count(t, F.lit(r"[\x{80}-\x{9f}¢-©¬®¯±-¶¸¹¼-¾ÂÃ�]")), n_chars).alias("damaged_share"),
-        _share(F.regexp_count(t, F.lit(r"(?<=\p{L})[\x{80}-\x{9f}¢-©¬®-¶¸¹»-¿€�](?=\p{L})|�|[ÂÃ](?=[^\p{L}]|$)")), n_words).alias("broken_rate"),
-        _share(F.regexp_count(t, F.lit(r"</?\w+/?>|&\w+;|undefined|NaN|null;|\{\{|\[object|function\(|%20|\\x\d\d")), tokens).alias("markup_rate"),
-        _share(F.size(F.filter("words", lambda w: w.rlike(r"(?i)^[bcdfghjklmnñpqrstvwxz]{3,}$|[bcdfghjklmnñpqrstvwxz]{5,}"))), n_words).alias("unsayable_share"),
-        _share(F.regexp_count(t, F.lit(r"(?<!\S)\d{6,}(?!\S)")), tokens).alias("code_share"),
+        F.coalesce(F.array_max(F.transform("parts", F.length)), F.lit(0)).alias("longest_token"),
+        _share(_if(F.col("odd"), F.regexp_count(t, F.lit(r"[\x{80}-\x{9f}¢-©¬®¯±-¶¸¹¼-¾ÂÃ�]"))), n_chars).alias("damaged_share"),
+        _share(_if(F.col("odd"), F.regexp_count(t, F.lit(r"(?<=\p{L})[\x{80}-\x{9f}¢-©¬®-¶¸¹»-¿€�](?=\p{L})|�|[ÂÃ](?=[^\p{L}]|$)"))), n_words).alias("broken_rate"),
+        _share(_if(_holds(t, "<", "&", "undefined", "NaN", "null;", "{{", "[object", "function(", "%20", "\\x"), F.regexp_count(t, F.lit(r"</?\w+/?>|&\w+;|undefined|NaN|null;|\{\{|\[object|function\(|%20|\\x\d\d"))), tokens).alias("markup_rate"),
+        _share(_if(t.rlike(rf"(?i){_UNSAYABLE}{{5}}|(?<![\p{{L}}\p{{M}}]){_UNSAYABLE}{{3,}}(?![\p{{L}}\p{{M}}])"), F.size(F.filter("words", lambda w: w.rlike(rf"(?i)^{_UNSAYABLE}{{3,}}$|{_UNSAYABLE}{{5,}}")))), n_words).alias("unsayable_share"),
+        _share(_if(t.rlike(r"\d{6}"), F.regexp_count(t, F.lit(r"(?<!\S)\d{6,}(?!\S)"))), tokens).alias("code_share"),
         _share(F.regexp_count(t, F.lit(r"(.)\1{5,}")), n_lines).alias("run_rate"),
         _share(F.regexp_count(t, F.lit(r" \| ")), n_lines).alias("bar_rate"),
         _share(_lines(F.col("lines"), r"\d"), n_lines).alias("number_line_share"),
