@@ -46,7 +46,10 @@ def _objects(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
 
 def _text(value: Column) -> Column:
-    return F.coalesce(F.try_variant_get(value, "$", "string"), F.when(~F.is_variant_null(value), F.to_json(value)))
+    """The text of a leaf. A whole number written with a point keeps it (``2.0``), as a decimal of no places tells."""
+    plain = F.try_variant_get(value, "$", "string")
+    pointed = F.schema_of_variant(value).rlike(r"^DECIMAL\(\d+,0\)$")
+    return F.coalesce(F.when(pointed, F.concat(plain, F.lit(".0"))).otherwise(plain), F.when(~F.is_variant_null(value), F.to_json(value)))
 
 
 def flatten_json(df: DataFrame, row_id: str, text: str, max_depth: int = MAX_DEPTH) -> DataFrame:

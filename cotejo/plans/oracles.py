@@ -85,6 +85,13 @@ def _node_columns(level: str) -> str:
     return f"SELECT {level}.rep_id, {level}.path, regexp_replace({level}.path, '\\.[^.]+\\.\\d+$', '') AS parent_path, CAST(regexp_extract({level}.path, '(\\d+)$', 1) AS INTEGER) AS ordinal, "
 
 
+#: Leaves of the report documents: id and brand where they aren't null, and every scalar of similar_products.
+_LEAVES = r"""WITH v AS (SELECT rep_id, similar_products FROM rawreport WHERE json_valid(similar_products)),
+  t AS (SELECT v.rep_id, j.fullkey, j.type, json_extract_string(j.value, '$') AS x FROM v, json_tree(v.similar_products) j WHERE j.type NOT IN ('OBJECT', 'ARRAY')),
+  leaves AS (SELECT rep_id, 'similar_products' || regexp_replace(substr(fullkey, 2), '\[(\d+)\]', '.\1', 'g') AS path, CASE WHEN type = 'NULL' THEN NULL ELSE x END AS value, type = 'NULL' AS is_null FROM t
+    UNION ALL SELECT rep_id, 'id', id, false FROM rawreport WHERE id IS NOT NULL UNION ALL SELECT rep_id, 'brand', brand, false FROM rawreport WHERE brand IS NOT NULL)"""
+
+
 ORACLES: dict[str, str] = {
     "match_brand": _one_to_one(_SIDES, "a.label = b.label", "label"),
     "match_no_brand": _one_to_one(_SIDES, "true"),
@@ -162,6 +169,23 @@ UNION ALL SELECT source_category, target_category, 'FN' FROM (SELECT * FROM t EX
 SELECT n_repeats, CASE WHEN n_repeats = 0 THEN 'Success: No repeated similar product IDs were found.' ELSE 'Action Required: One or more similar product IDs are repeated in the report.' END AS message FROM n""",
     "flatten_json": "SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL",
     "csv_columns": "SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'Not found') AS k FROM events WHERE props IS NOT NULL",
+    "flatten_report": f"{_LEAVES} SELECT rep_id, path, value, is_null FROM leaves",
+    "csv_columns_report": f"""WITH p AS (PIVOT ({_LEAVES} SELECT rep_id, path, coalesce(value, '') AS value FROM leaves UNION ALL SELECT rep_id, 'id', NULL FROM rawreport) ON path USING max(value) GROUP BY rep_id)
+SELECT rep_id, coalesce(COLUMNS(* EXCLUDE (rep_id)), 'Not found') FROM p""",
+    "match_global": f"""WITH RECURSIVE {_SIDES},
+  d AS (SELECT a.pos AS a_pos, b.pos AS b_pos, a.label = b.label AS own, {_DIST} AS distance FROM a CROSS JOIN b),
+  r AS (SELECT *, row_number() OVER (PARTITION BY a_pos ORDER BY distance, b_pos) AS k, row_number() OVER (PARTITION BY a_pos, own ORDER BY distance, b_pos) AS j FROM d),
+  c AS (SELECT a_pos, b_pos, distance, row_number() OVER (ORDER BY distance, a_pos, b_pos) AS n FROM r WHERE k = 1 OR (own AND j <= 3)),
+  w AS (SELECT 0 AS n, []::BIGINT[] AS ua, []::BIGINT[] AS ub, false AS took
+        UNION ALL SELECT m, CASE WHEN t THEN list_append(ua, a_pos) ELSE ua END, CASE WHEN t THEN list_append(ub, b_pos) ELSE ub END, t
+        FROM (SELECT w.ua, w.ub, c.a_pos, c.b_pos, c.n AS m, NOT list_contains(ua, c.a_pos) AND NOT list_contains(ub, c.b_pos) AS t FROM w JOIN c ON c.n = w.n + 1) s)
+SELECT c.a_pos, c.b_pos, round(distance, 5) AS distance FROM w JOIN c ON c.n = w.n WHERE took""",
+    "io_products": "SELECT id, supermarket, description, denomination, brand, category, price, unit_price, nutrition_information.fat.value AS fat FROM products",
+    "io_report_csv": "SELECT CAST(rep_id AS VARCHAR) AS rep_id, nullif(id, '') AS id, nullif(description, '') AS description, nullif(brand, '') AS brand, nullif(category, '') AS category, nullif(similar_products, '') AS similar_products FROM rawreport",
+    "io_buckets": "SELECT vec_id, id, category_key, brand FROM processed_products WHERE brand_type = 'brand'",
+    "io_category_map": f"WITH {_MAP} SELECT source_key, target_key FROM pairs WHERE source_supermarket = 'EROSKI' AND {_USABLE}",
+    "io_white_labels": "SELECT DISTINCT p AS pattern FROM (SELECT unnest(general) AS p FROM white_label_brands) WHERE p IS NOT NULL",
+    "io_translations": "SELECT n_name AS original, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE reverse(n_name) END AS translated FROM nation",
     "translate_lookup": "SELECT n_name AS word, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END AS translated FROM nation",
     "golden_set_expand": """SELECT trim(p_name) AS source_category, NULL AS target_category FROM part WHERE p_size % 5 = 1
 UNION ALL SELECT p_name, unnest([p_brand, p_type]) FROM part WHERE p_size % 5 > 1""",
@@ -187,3 +211,4 @@ SELECT category, pos FROM n WHERE r = 1""",
     "p2_since_latest": """WITH n AS (SELECT category, pos, row_number() OVER (PARTITION BY category ORDER BY scraped_at DESC, pos DESC) AS r FROM products WHERE category IS NOT NULL AND scraped_at IS NOT NULL)
 SELECT p.pos, p.category, n.pos AS latest_pos FROM products p JOIN n ON p.category = n.category AND n.r = 1""",
 }
+ORACLES["io_truth"] = ORACLES["truth_pairs"]

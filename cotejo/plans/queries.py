@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from cotejo.functions import products as P
 from cotejo.functions.text import category_key, normalize, slug, strip_accents
 from cotejo.operators import catalog, categories, dedup, dewey, evaluate, flatten, matching, skew, units
 from cotejo.operators.vectors import knn_join
-from cotejo.session import table
+from cotejo.session import checkpoint_dir, table
+from cotejo.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -249,14 +251,101 @@ def flatten_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flatten_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "rawreport").withColumn("doc", F.to_json(F.struct("id", "brand", F.try_parse_json("similar_products").alias("similar_products"))))
-    return flatten.flatten_json(rows, "rep_id", "doc").select("rep_id", "path", "value", "is_null")
+    return flatten.flatten_json(_report_documents(spark, d), "rep_id", "doc").select("rep_id", "path", "value", "is_null")
 
 
 def csv_columns(spark: SparkSession, d: str) -> DataFrame:
     return flatten.ragged_table(table(spark, d, "events"), "event_id", "props").drop("item")
 
 
+def _report_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each listing as one JSON document, its similar products as they are written (a number keeps its form)."""
+    own = F.to_json(F.struct("id", "brand"))
+    similar = F.when(F.try_parse_json("similar_products").isNotNull(), F.concat(F.lit('"similar_products":'), F.col("similar_products")))
+    members = F.concat_ws(",", F.nullif(F.substring(own, F.lit(2), F.length(own) - 2), F.lit("")), similar)
+    return table(spark, d, "rawreport").withColumn("doc", F.concat(F.lit("{"), members, F.lit("}")))
+
+
+def csv_columns_report(spark: SparkSession, d: str) -> DataFrame:
+    """The nested report as a table with a column for every path that occurs."""
+    return flatten.ragged_table(_report_documents(spark, d), "rep_id", "doc").drop("item")
+
+
+def _written(spark: SparkSession, name: str) -> str:
+    """A folder of this run on the shared file system."""
+    return f"{checkpoint_dir(spark)}/cotejo-io/{uuid.uuid4().hex}/{name}"
+
+
+def io_products(spark: SparkSession, d: str) -> DataFrame:
+    """Products through JSON array files and back."""
+    at = _written(spark, "products")
+    fields = ["id", "supermarket", "description", "denomination", "brand", "category", "price", "unit_price", "raw_ingredients", "nutrition_information"]
+    sinks.write_json_arrays(table(spark, d, "products").select(*fields), at)
+    rows = readers.read_products(spark, at)
+    return rows.select("id", "supermarket", "description", "denomination", "brand", "category", "price", "unit_price", F.col("nutrition_information.fat.value").alias("fat"))
+
+
+def io_report_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Listings through the ``;`` CSV and back; cells are texts, an empty one is null."""
+    at = _written(spark, "report")
+    sinks.write_report_csv(table(spark, d, "rawreport").select("rep_id", "id", "description", "brand", "category", "similar_products"), at)
+    return readers.read_csv_report(spark, at)
+
+
+def io_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Processed products through the bucket table, one brand type read back by its partition."""
+    at = _written(spark, "buckets")
+    sinks.write_buckets(table(spark, d, "processed_products"), at)
+    return readers.read_buckets(spark, at, brand_type="brand").select("vec_id", "id", "category_key", "brand")
+
+
+def io_truth(spark: SparkSession, d: str) -> DataFrame:
+    """Known matches through their CSV file to distinct pairs."""
+    at = _written(spark, "truth")
+    names = {"er_referencia_eroski": "ER Referencia eroski", "ref_competidor": "Ref competidor", "eroski_denomination": "Eroski_Denomination", "makro_denomination": "Makro_Denomination"}
+    rows = table(spark, d, "known_matches").select(*[F.col(a).alias(b) for a, b in names.items()])
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(at)
+    return evaluate.truth_pairs(readers.read_truth(spark, at), "ER Referencia eroski", "Ref competidor").select("a_id", "b_id")
+
+
+def io_category_map(spark: SparkSession, d: str) -> DataFrame:
+    """A category map through its JSON document to usable pairs."""
+    at = _written(spark, "map")
+    sinks.write_json_document(table(spark, d, "category_map").where("source_supermarket = 'EROSKI'"), at)
+    return catalog.category_pairs(readers.read_category_map(spark, at))
+
+
+def io_white_labels(spark: SparkSession, d: str) -> DataFrame:
+    at = _written(spark, "labels")
+    sinks.write_json_document(table(spark, d, "white_label_brands"), at)
+    return spark.createDataFrame([(p,) for p in readers.read_white_labels(spark, at)], "pattern string")
+
+
+def io_translations(spark: SparkSession, d: str) -> DataFrame:
+    """A translation cache written as a JSON object, read and written again with what it lacked."""
+    at = _written(spark, "translations")
+    sinks.write_translations(table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("original"), F.lower("n_name").alias("translated")), at)
+
+    class Reversed:
+        def translate_batch(self, texts: list[str]) -> list[str]:
+            return [t[::-1] for t in texts]
+
+        def translate(self, text: str) -> str:
+            return text[::-1]
+
+    more = categories.translate_new(table(spark, d, "nation"), "n_name", readers.read_translations(spark, at), Reversed)
+    again = _written(spark, "translations")
+    sinks.write_translations(more, again)
+    return readers.read_translations(spark, again)
+
+
+def match_compat(spark: SparkSession, d: str) -> DataFrame:
+    """The literal replay in bucket order over the processed products."""
+    a, b = (x.withColumn("brand_key", F.when(F.col("brand_type") == "brand", F.col("brand_key")).otherwise(F.lit(""))) for x in _processed(spark, d))
+    one = lambda df: dedup.last_wins(df, ["id", "bucket"], "vec_id").drop("first_pos")
+    return _rounded(matching.match_compat(one(a), one(b), "bucket", "vec_id", "product_embedding"))
+
+
 def translate_lookup(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "nation").select(F.col("n_name").alias("word"))
     dictionary = table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("original"), F.lower("n_name").alias("translated"))
@@ -328,6 +417,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     match_brand, match_no_brand, knn_topk, match_overlapping_buckets, match_own_brand_flag, match_global, match_catalog_brand, match_catalog_no_brand, category_map,
     normalize_text, slug_categories, accent_removal, category_filter, category_counter, white_label, brand_min_count, product_text,
     legacy_product_text, dedup_last_wins, dedup_pairs, eval_matches, eval_general, eval_report, truth_pairs, eval_categories_macro,
-    eval_categories, norepeat, norepeat_message, flatten_json, flatten_report, csv_columns, translate_lookup, golden_set_expand,
+    eval_categories, norepeat, norepeat_message, flatten_json, flatten_report, csv_columns, csv_columns_report, match_compat, io_products, io_report_csv, io_buckets, io_truth, io_category_map, io_white_labels, io_translations, translate_lookup, golden_set_expand,
     bucket_pairing, map_entries, slug_originals, report_norepeat, report_norepeat_message, report_eval_general, report_eval_report, product_category_map, p1_units, p1_found, p2_found, p2_since_latest, p3_found,
 )} | {"p3_products": p3_products, "p3_offers": p3_offers, "p3_promos": p3_promos, "p3_tiers": p3_tiers}

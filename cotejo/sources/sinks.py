@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from itertools import chain, islice
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,21 @@ def write_json_document(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """Files that hold one JSON array each, one a partition, as array readers want them; rows stream through."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start = "["
+        for batch in batches:
+            rows = batch["value"].tolist()
+            yield pd.DataFrame({"value": [f"{start if i == 0 else ','}{r}" for i, r in enumerate(rows)]})
+            start = "," if rows else start
+        yield pd.DataFrame({"value": ["[]" if start == "[" else "]"]})
+
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInPandas(lines, "value string").write.mode("overwrite").text(path)
+
+
 def cells_as_text(df: DataFrame) -> DataFrame:
     """Every cell as the text a report shows: booleans as ``True`` and ``False``, nested values as JSON, null empty."""
     def one(name: str, kind: str):
