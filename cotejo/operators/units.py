@@ -5,6 +5,9 @@ none, from the text; aliases are joined to a table of units; factor and offset o
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,14 +39,19 @@ _MONEY = rf"({_NUMBER}(?:€\d+)?)\s*({_CURRENCY})?"
 _AMOUNT = r"(\d+\s*/\s*\d+|\d*\s*[½¼¾]|\d+(?:[.,]\d+)*|medi[oa]|(?:un\s+)?cuarto(?:\s+de)?|tres\s+cuartos(?:\s+de)?)?"
 
 
-def _words(base: tuple[str, ...]) -> str:
-    return "|".join(sorted((a for a, b, _, _ in UNITS if b in base), key=lambda a: (-len(a), a)))
+_PIECE = r"(?:unidades|unidad|unds?|uds?|uni|u)\.?"
+
+
+@lru_cache(16)
+def _patterns(units: tuple) -> tuple[str, str, str]:
+    """Patterns of an amount with its unit, of a content and of a count of pieces, for these units."""
+    words = lambda *bases: "|".join(sorted((re.escape(a) for a, b, _, _ in units if b in bases), key=lambda a: (-len(a), a))) or "(?!)"
+    spec = rf"{_AMOUNT}\s*({words('kg', 'l', 'ud')})\.?"
+    content = rf"(?:(\d+)\s*(?:x\s*|(?:{_PIECE}\s*)?(?:-\s*|de\s+)|{_PIECE}\s+))?(\d+\s*/\s*\d+|\d*\s*[½¼¾]|medi[oa]|cuarto\s+de|{_NUMBER})\s*({words('kg', 'l')})\b"
+    count = rf"(?:(?<![\w.,])({_NUMBER})\s*({words('ud')})(?![\w])|(?:(?:pack|lote|caja|estuche)(?:\s+de)?\s+|(?<!\w)x\s*)(\d+)(?!\s*[.,]?\d))"
+    return spec, content, count
 
 
-_SPEC = rf"{_AMOUNT}\s*({_words(('kg', 'l', 'ud'))})\.?"
-_PIECE = r"(?:unidades|unidad|unds?|uds?|uni|u)\.?"
-_CONTENT = rf"(?:(\d+)\s*(?:x\s*|(?:{_PIECE}\s*)?(?:-\s*|de\s+)|{_PIECE}\s+))?(\d+\s*/\s*\d+|\d*\s*[½¼¾]|medi[oa]|cuarto\s+de|{_NUMBER})\s*({_words(('kg', 'l'))})\b"
-_COUNT = rf"(?:(?<![\w.,])({_NUMBER})\s*({_words(('ud',))})(?![\w])|(?:(?:pack|lote|caja|estuche)(?:\s+de)?\s+|(?<!\w)x\s*)(\d+)(?!\s*[.,]?\d))"
 #: What every content and count holds.
 _NUMERIC = r"[\d½¼¾]|medi[oa]|cuarto"
 _EXACT = T.DecimalType(30, 8)
@@ -58,8 +66,8 @@ def _groups(text: Column, pattern: str, n: int) -> Column:
     return F.when(F.size(parts) == n, parts).when(text.isNotNull(), F.array(*[F.lit("")] * n))
 
 
-def units_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(UNITS, "alias string, base_unit string, factor long, offset long")
+def units_table(spark: SparkSession, units: list[tuple] | None = None) -> DataFrame:
+    return spark.createDataFrame(UNITS if units is None else units, "alias string, base_unit string, factor long, offset long")
 
 
 def parse_number(text: Column) -> Column:
@@ -82,7 +90,7 @@ def parse_amount(text: Column) -> Column:
 
 
 def with_unit_prices(
-    df: DataFrame, unit_price: str, price: str, texts: list[str], source: str | None = None, defaults: dict[str, str] | None = None
+    df: DataFrame, unit_price: str, price: str, texts: list[str], source: str | None = None, defaults: dict[str, str] | None = None, units: list[tuple] | None = None
 ) -> DataFrame:
     """Adds base_unit, unit_cents, price_cents, content (base units, of the text), unit_from and confirmed.
 
@@ -90,13 +98,15 @@ def with_unit_prices(
     price without number or unit gives nulls, as do null, empty and filler fields. The item's price may be in euros
     or in cents: content times unit price decides; without a content, the content that the price implies must be
     one that goods are sold in, and euros win if both or neither are. Existing columns of the input keep their
-    values; input columns named like a result are replaced. Repeated rows stay; no shuffle is made.
+    values; input columns named like a result are replaced. ``units`` are rows of alias, base unit, factor and offset in
+    thousandths. Repeated rows stay; no shuffle is made.
     """
     spark = df.sparkSession
+    spec, content, count = _patterns(tuple(map(tuple, UNITS if units is None else units)))
     kept = [c for c in df.columns if c not in ("base_unit", "unit_cents", "price_cents", "content", "unit_from", "confirmed")]
     u = F.trim(F.lower(fold_sql(F.col(unit_price))))
     text = F.lower(fold_sql(F.concat_ws(" ", *[F.col(c) for c in texts])))
-    front, said = rf"^(?:a\s+)?{_MONEY}\s*(?:(?:/|x|por)\s*(.*))?$", rf"{HINT}\s*{_SPEC}(?![\w½])"
+    front, said = rf"^(?:a\s+)?{_MONEY}\s*(?:(?:/|x|por)\s*(.*))?$", rf"{HINT}\s*{spec}(?![\w½])"
     default = F.lit("")
     for name, alias in (defaults or {}).items():
         default = F.when(F.col(source) == name, F.lit(alias)).otherwise(default)
@@ -108,9 +118,9 @@ def with_unit_prices(
     out = out.withColumns({f"__{k}": F.get("__front", F.lit(g)) for k, g in (("n", 0), ("c", 1), ("s", 2))} | {"__h": F.when(F.col("__t").rlike("precio|p\\.?\\s?v|€"), F.regexp_extract("__t", said, 0)).otherwise("")})
     goods = F.when(F.col("__h") != "", F.replace("__t", F.col("__h"), F.lit(" "))).otherwise(F.col("__t"))  # no announced unit
     out = out.withColumn("__goods", F.regexp_replace(goods, PROMO, " "))  # no promotion
-    found = {"__content": F.regexp_extract("__goods", _CONTENT, 0), "__pieces": F.regexp_extract("__goods", _COUNT, 0)}
+    found = {"__content": F.regexp_extract("__goods", content, 0), "__pieces": F.regexp_extract("__goods", count, 0)}
     out = out.withColumns({c: F.when(F.col("__goods").rlike(_NUMERIC), x).otherwise("") for c, x in found.items()})
-    out = out.withColumns({"__f": _groups(F.col("__s"), rf"^{_SPEC}\s*$", 2), "__hg": _groups(F.col("__h"), rf"^{said}$", 2), "__g": _groups(F.col("__content"), rf"^{_CONTENT}$", 3), "__k": _groups(F.col("__pieces"), rf"^(?:{_COUNT})$", 3)})
+    out = out.withColumns({"__f": _groups(F.col("__s"), rf"^{spec}\s*$", 2), "__hg": _groups(F.col("__h"), rf"^{said}$", 2), "__g": _groups(F.col("__content"), rf"^{content}$", 3), "__k": _groups(F.col("__pieces"), rf"^(?:{count})$", 3)})
     out = out.withColumns({f"__{c}{n}": F.get(f"__{a}", F.lit(i)) for a, parts in {"f": ("fq", "fu"), "hg": ("hq", "hu"), "g": ("g1", "g2", "g3"), "k": ("k1", "k2", "k3")}.items() for i, (c, n) in enumerate((x[0], x[1:]) for x in parts)})
     bare = F.col("__s") == ""
     out = out.withColumns(
@@ -128,7 +138,7 @@ def with_unit_prices(
             "__count": F.coalesce(parse_number(F.col("__k1")), F.col("__k3").try_cast(_EXACT)), "__nunit": F.when(F.col("__k3") != "", F.lit("ud")).otherwise(F.col("__k2")),
         }
     )
-    aliases = F.broadcast(units_table(spark))  # a fixed list of about 50 rows
+    aliases = F.broadcast(units_table(spark, units))  # the list of units
     for name in ("__unit", "__cunit", "__nunit"):
         out = out.join(aliases.toDF(name, f"{name}_base", f"{name}_factor", f"{name}_offset"), name, "left")
     thousandths = (F.col("__q") * F.col("__unit_factor") + F.col("__unit_offset")).cast(_EXACT)

@@ -172,7 +172,7 @@ def run_report(spark: SparkSession, products_path: str, map_path: str | None, ou
         written = write_category_map(products, config, base, translations, map_truth)
         map_path = written["category_map"]
     mapping = readers.read_category_map(spark, map_path)
-    written |= {k: f"{base}/{k}" for k in ("buckets", "counter", "matches", "rawreport", "flat", "export", "xlsx", "norepeat", "progress")}
+    written |= {k: f"{base}/{k}" for k in ("buckets", "counter", "matches", "rawreport", "flat", "export", "xlsx", "norepeat", "progress", "summary")}
     processed = tokenize(products, mapping, config)
     sinks.write_buckets(processed, written["buckets"])
     processed = readers.read_buckets(spark, written["buckets"], schema=processed.schema)  # there are no files if no category is mapped
@@ -198,6 +198,7 @@ def run_report(spark: SparkSession, products_path: str, map_path: str | None, ou
         sinks.write_json(general, written["metrics"])
     sinks.write_json(evaluate_norepeat(report), written["norepeat"])
     sinks.write_json(sinks.progress({"products": products, "buckets": processed, "matches": matches, "report": report, "export": flat}), written["progress"])
+    sinks.write_markdown(spark.read.json(written["progress"]).orderBy("stage"), written["summary"])
     return written
 
 

@@ -122,6 +122,12 @@ def write_xlsx_file(df: DataFrame, folder: str, name: str) -> str:
     return f"{folder}/{name}"
 
 
+def write_markdown(df: DataFrame, path: str) -> None:
+    """A small metric table as one markdown file."""
+    lines = df.sparkSession.createDataFrame([(line,) for line in markdown(df)], "value string")
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_translations(entries: DataFrame, path: str) -> None:
     """The translation cache ``original, translated`` as one JSON object; a word listed twice keeps its smallest entry."""
     one = entries.where("original is not null").groupBy("original").agg(F.min("translated").alias("translated"))

@@ -25,15 +25,15 @@ def hourly_counts(feed: DataFrame, time: str = "scraped_at", late: str = "2 days
     return rows.groupBy(F.window(time, "1 hour").alias("w"), "category").agg(F.count("*").alias("n_products")).select(F.col("w.start").alias("hour"), "category", "n_products")
 
 
-def upsert_latest(feed: DataFrame, target: str, checkpoint: str, key: str = "id", order: str = "pos") -> StreamingQuery:
+def upsert_latest(feed: DataFrame, target: str, checkpoint: str, key: str = "id", order: str = "pos", keep: int = 3) -> StreamingQuery:
     """Keeps the last row of each key in a parquet table. Every batch writes a new version folder, named by its batch
     number, so a repeated batch overwrites its own version and readers of the one before aren't disturbed. A version
-    that should be there and isn't is an error."""
+    that should be there and isn't is an error; of written ones the last ``keep`` stay, at least two."""
 
     def write(batch: DataFrame, number: int) -> None:
         before = f"{target}/v={number - 1}"
+        jvm, conf = batch.sparkSession._jvm, batch.sparkSession._jsparkSession.sessionState().newHadoopConf()
         if number > 0:
-            jvm, conf = batch.sparkSession._jvm, batch.sparkSession._jsparkSession.sessionState().newHadoopConf()
             path = jvm.org.apache.hadoop.fs.Path(before)
             if not path.getFileSystem(conf).exists(path):
                 raise FileNotFoundError(f"batch {number} needs the version before it, {before}")
@@ -41,5 +41,7 @@ def upsert_latest(feed: DataFrame, target: str, checkpoint: str, key: str = "id"
         rest = [c for c in batch.columns if c != key]
         last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r"))
         last.select(key, "r.*").write.mode("overwrite").parquet(f"{target}/v={number}")
+        old = jvm.org.apache.hadoop.fs.Path(f"{target}/v={number - max(2, keep)}")
+        old.getFileSystem(conf).delete(old, True)
 
     return feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,4 +1,5 @@
-from cotejo.operators import evaluate
+import pytest
+from cotejo.operators import flatten, evaluate
 
 REPORT = "row int, id string, similar_products array<struct<id: string, productIdInSupermarket: string>>"
 
@@ -65,3 +66,12 @@ def test_report_queries_read_rawreport_and_known_matches(spark, tmp_path):
     assert run("report_eval_general")[0][:3] == (1, 1, 1)
     assert sorted((r[1], r[4], r[5], r[6]) for r in run("report_eval_report"))[:2] == [("FN", "9", "M9", None), ("FP", "2", "M1", 999.0)]
     assert sorted(r[2] for r in run("product_category_map")) == ["leche", "pan"]
+
+
+def test_flat_records_of_any_depth(spark):
+    deep = '{"a":' * 15 + '{"b":[1.0,{"c":"x]}\\\\\\"{["}]}' + "}" * 15
+    df = spark.createDataFrame([(1, deep), (2, '{"a": 2}'), (3, None), (4, "no")], "r long, t string")
+    got = {(r["r"], r["path"].replace("a.", ""), r["value"]) for r in flatten.flatten_json(df, "r", "t").collect()}
+    assert flatten.nesting(df, "t") == 18 and got == {(1, "b.0", "1.0"), (1, "b.1.c", 'x]}\\"{['), (2, "a", "2")}
+    with pytest.raises(ValueError, match="more than 1 paths"):
+        flatten.ragged_table(df, "r", "t", max_paths=1)

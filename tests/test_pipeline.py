@@ -180,6 +180,19 @@ def test_upsert_keeps_earlier_keys_at_a_target_with_a_scheme(spark, tmp_path):
         incremental.upsert_latest(incremental.product_feed(spark, str(tmp_path / "in"), schema), f"file:{tmp_path}/out", str(tmp_path / "c")).awaitTermination()
 
 
+def test_old_versions_go_and_hours_are_counted(spark, tmp_path):
+    schema = "id string, pos long, category string, scraped_at timestamp"
+    for n in range(5):
+        spark.sql(f"select '{n % 2}' id, {n}L pos, 'c' category, timestamp'2026-01-01 00:30:00' + make_interval(0, 0, 0, {n}) scraped_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    feed = incremental.product_feed(spark, str(tmp_path / "in"), schema, 1)
+    incremental.upsert_latest(feed, str(tmp_path / "out"), str(tmp_path / "c"), keep=2).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "out").glob("v=*")) == ["v=3", "v=4"]
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v=4")).select("id", "pos").collect()) == [("0", 4), ("1", 3)]
+    query = incremental.hourly_counts(feed).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r["n_products"] for r in spark.table("hours").collect()) == [1, 1, 1, 1, 1]
+
+
 def test_run_makes_the_map_and_exports(spark, tmp_path):
     _products(tmp_path / "p.json")
     config = pipeline.Config(white_labels=("EROSKI",), run="r2")

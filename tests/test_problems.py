@@ -107,3 +107,11 @@ def test_ragged_table(spark):
     assert flatten.header(df, "r", "t")[:4] == ["s", "s.0.k", "s.1.k", "s.10.k"]
     rows = {r["r"]: r.asDict() for r in flatten.ragged_table(df, "r", "t").collect()}
     assert rows[1]["s"] == "Not found" and rows[1]["s.10.k"] == "10" and rows[2]["s"] == "" and rows[2]["s.2.k"] == "Not found"
+
+
+def test_units_are_a_parameter_with_offsets(spark):
+    listed = [("kg", "kg", 1000, 0), ("lb", "kg", 454, 0), ("tarro", "kg", 400, 50), ("ud", "ud", 1000, 0)]
+    rows = [(1, "4,54 €/lb", 9.08, "Miel 2 lb"), (2, "9 €/tarro", 9.0, "Miel 1 tarro"), (3, "1 €/l", 1.0, "Agua 1 l")]
+    df = spark.createDataFrame(rows, "pos long, unit_price string, price double, description string")
+    got = {r["pos"]: (r["base_unit"], r["unit_cents"], r["content"]) for r in units.with_unit_prices(df, "unit_price", "price", ["description"], units=listed).collect()}
+    assert got == {1: ("kg", 1000, 0.908), 2: ("kg", 2000, 0.45), 3: (None, None, None)}
