@@ -98,6 +98,8 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, by: Col
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"not a join that keeps the left rows whole: {how}")
     plan = plan or plan_loads(left, key)
+    if not plan.heavy:
+        return left.join(right, key, how)  # no key is more than a part of a task's load: hashing is even enough
     shards = _shards(plan, right, key)
     there = right.join(shards, F.col(key).eqNullSafe(F.col("__heavy_key")), "left")
     light = F.array(_light_task(plan, key))
