@@ -161,4 +161,7 @@ def with_unit_prices(
     in_cents = F.when(~whole, False).when(expected > 0, off(cents) < off(euros)).when(F.col("unit_cents") > 0, implied(cents) & ~implied(euros)).otherwise(False)
     out = out.withColumn("price_cents", F.when(F.col(price).isNull() | F.isnan(price), None).when(in_cents, cents).otherwise(euros).cast("long"))
     right = F.when(expected > 0, F.abs(F.col("price_cents") - expected) <= F.greatest(F.lit(2.0), 0.02 * expected))
-    return out.select(*kept, "base_unit", "unit_cents", "price_cents", "content", "unit_from", right.alias("confirmed"))
+    # one value a row, taken apart again: a caller's filter on the results would otherwise be moved below the searches, which
+    # then run twice and outgrow what can be compiled
+    results = F.struct("base_unit", "unit_cents", "price_cents", "content", "unit_from", right.alias("confirmed"))
+    return out.select(*kept, F.inline(F.array(results)))
