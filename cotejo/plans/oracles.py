@@ -85,6 +85,14 @@ def _node_columns(level: str) -> str:
     return f"SELECT {level}.rep_id, {level}.path, regexp_replace({level}.path, '\\.[^.]+\\.\\d+$', '') AS parent_path, CAST(regexp_extract({level}.path, '(\\d+)$', 1) AS INTEGER) AS ordinal, "
 
 
+#: First similar product of every EROSKI listing, an object in the list's place standing for it, and its repeats.
+_REPORT_REPEATS = """v AS (SELECT rep_id, CAST(similar_products AS JSON) AS v FROM rawreport WHERE json_valid(similar_products) AND contains(supermarket, 'EROSKI')),
+  x AS (SELECT rep_id AS r, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[0]') WHEN 'OBJECT' THEN v END AS x FROM v),
+  i AS (SELECT r, coalesce(json_extract_string(x, '$.id'), json_extract_string(x, '$.productIdInSupermarket')) AS item FROM x),
+  z AS (SELECT item, min(r) OVER (PARTITION BY item) AS first_row, r AS repeated_row FROM i WHERE item <> '')"""
+_MESSAGE = """SELECT n_repeats, CASE WHEN n_repeats = 0 THEN 'Success: No repeated similar product IDs were found.' ELSE 'Action Required: One or more similar product IDs are repeated in the report.' END AS message FROM n"""
+
+
 #: Leaves of the report documents: id and brand where they aren't null, and every scalar of similar_products.
 _LEAVES = r"""WITH v AS (SELECT rep_id, similar_products FROM rawreport WHERE json_valid(similar_products)),
   t AS (SELECT v.rep_id, j.fullkey, j.type, json_extract_string(j.value, '$') AS x FROM v, json_tree(v.similar_products) j WHERE j.type NOT IN ('OBJECT', 'ARRAY')),
@@ -212,3 +220,5 @@ SELECT category, pos FROM n WHERE r = 1""",
 SELECT p.pos, p.category, n.pos AS latest_pos FROM products p JOIN n ON p.category = n.category AND n.r = 1""",
 }
 ORACLES["io_truth"] = ORACLES["truth_pairs"]
+ORACLES["report_norepeat"] = f"WITH {_REPORT_REPEATS} SELECT item, first_row, repeated_row FROM z WHERE repeated_row > first_row"
+ORACLES["report_norepeat_message"] = f"WITH {_REPORT_REPEATS}, n AS (SELECT count(*) AS n_repeats FROM z WHERE repeated_row > first_row) {_MESSAGE}"
